@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import ngram_join, substring_dedup
+from framelake.llm import decontaminate, ngram_join, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -52,14 +56,25 @@ FROM words w LEFT JOIN lists l USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
 
-OP4_SQL = r"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
-), listed AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS l FROM words
-), shingles AS (SELECT doc_id, unnest(l) AS s FROM listed
-), sizes AS (SELECT doc_id, CAST(len(l) AS BIGINT) AS n FROM listed
+def _shingle_ctes(table: str, key: str, prefix: str) -> str:
+    """Tables {prefix}shingles (key, s) and {prefix}sizes (key, n) of a text table's distinct 5-word shingles."""
+    return rf"""{prefix}words AS (
+  SELECT {key}, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM {table}
+), {prefix}listed AS (
+  SELECT {key}, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS l FROM {prefix}words
+), {prefix}shingles AS (SELECT {key}, unnest(l) AS s FROM {prefix}listed
+), {prefix}sizes AS (SELECT {key}, CAST(len(l) AS BIGINT) AS n FROM {prefix}listed"""
+
+
+OP2_SQL = f"""
+WITH {_shingle_ctes("documents", "doc_id", "d_")}), {_shingle_ctes("benchmark", "item_id", "i_")}), common AS (
+  SELECT d.doc_id, i.item_id, count(*) AS c FROM d_shingles d JOIN i_shingles i USING (s) GROUP BY 1, 2
+)
+SELECT doc_id, item_id, n AS n_item, c AS n_shared FROM common JOIN i_sizes USING (item_id) WHERE 100 * c >= 80 * n
+"""
+OP4_SQL = f"""
+WITH RECURSIVE {_shingle_ctes("documents", "doc_id", "")}
 ), common AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
@@ -73,4 +88,4 @@ SELECT s.doc_id, s.n AS n_shingles, min(r.r) AS component_id FROM sizes s JOIN r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL}
