@@ -114,7 +114,7 @@ def _fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     lengths, demand = lengths[live], demand[live]
     step_most = max(1.0, float((lengths * demand).sum()) / capacity / rounds)
     cover, uses = np.zeros(len(lengths)), {}
-    steep = np.log(max(2, len(lengths))) / 0.1
+    steep = np.log(max(2, len(lengths)))
     for _ in range(rounds):
         share = cover / demand
         if share.min() >= 1:
@@ -129,7 +129,7 @@ def _fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return [({int(live[i]): a for i, a in name}, int(x)) for name, x in sorted(uses.items(), key=lambda u: -u[1])]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = 2048, rounds: int = 120, passes: int = 4) -> Plan:
+def plan_sequences(histogram: dict[int, int], capacity: int = 2048, rounds: int = 250, passes: int = 1) -> Plan:
     """The plan for so many pieces of each length (1 to capacity). passes: the program is solved again for what rounding left."""
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(x)] for x in lengths], np.int64)
