@@ -36,6 +36,8 @@ from framelake.llm.workspace import extent, settle
 
 GROUP = 256  # nodes at most, about, that one task compares
 LEADERS = 4  # of a group, that go on to the next round of step 3
+#: For the least hashes by which nodes are grouped, one turn after another.
+TURN_SEEDS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 NODE_SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -107,20 +109,24 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         nodes = set_names(keys, offs)
         order = np.lexsort((keys, level, np.repeat(np.arange(len(sizes)), sizes)))
         ranked = keys[order]
-        seen, tokens = set(), []
+        seen, tokens, least = set(), [], [[] for _ in TURN_SEEDS]
         for i, (node, size) in enumerate(zip(nodes, sizes, strict=True)):
             open_ = node is not None and node not in seen and size - alone[i] >= _needed(int(size), percent)
             tokens.append(ranked[offs[i] : offs[i + 1]].tobytes() if open_ else None)
             seen.add(node)
-        return pa.table([table.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(alone, pa.int64()), pa.array(tokens, pa.binary())], names=["id", "n", "node", "alone", "tokens"])
+            for turn, seed in enumerate(TURN_SEEDS):
+                least[turn].append(int(mix(keys[offs[i] : offs[i + 1]] ^ U64(seed)).min() >> U64(1)) if open_ else None)
+        columns = [table.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(alone, pa.int64()), pa.array(tokens, pa.binary()), *(pa.array(x, pa.int64()) for x in least)]
+        return pa.table(columns, names=["id", "n", "node", "alone", "tokens", *turns])
 
+    turns = [f"g{i}" for i in range(len(TURN_SEEDS))]
     answers = dealt.groupBy("chunk_").applyInArrow(send, sketch.SENT).groupBy("slot").applyInArrow(sketch.merge, sketch.ANSWERED)
-    known = settle(dealt.groupBy("chunk_").cogroup(answers.groupBy("chunk")).applyInArrow(describe, f"id {id_type}, n long, node binary, alone long, tokens binary"), "sets")
-    open_sets = settle(known.where("tokens is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("tokens").alias("tokens")), "nodes")
+    known = settle(dealt.groupBy("chunk_").cogroup(answers.groupBy("chunk")).applyInArrow(describe, f"id {id_type}, n long, node binary, alone long, tokens binary, " + ", ".join(f"{g} long" for g in turns)), "sets")
+    open_sets = settle(known.where("tokens is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "alone", "tokens", *turns))), "nodes")
 
     links = spark.createDataFrame([], "a binary, b binary")
-    for turn in range(2):
-        links = links.unionByName(_lead(open_sets, turn, percent))
+    for g in turns:
+        links = links.unionByName(_lead(open_sets, g, percent))
     links = settle(links, "links")
     labels = components(links)
     rest = settle(_across(open_sets, labels, percent), "links")
@@ -139,26 +145,14 @@ def _token_lists(column) -> list[np.ndarray]:
     return [np.frombuffer(x, U64) for x in column.to_pylist()]
 
 
-def _least_hash(turn: int):
-    seed = U64(ROW_KEYS[turn])
+def _lead(sets: DataFrame, turn: str, percent: int) -> DataFrame:
+    """Links that join each group's nodes into components; groups are nodes with one least hash, split while too large.
 
-    def least(batches):
-        for b in batches:
-            mins = [int(mix(t ^ seed).min() >> U64(1)) for t in _token_lists(b.column("tokens"))]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(mins, pa.int64())], names=["node", "g"])
-
-    return least
-
-
-ROW_KEYS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-
-
-def _lead(sets: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Links of nodes with leaders of their group; groups are nodes with one least hash, split while too large."""
+    Leaders of a split group's largest components go on to meet the other parts'.
+    """
 
-    def lead(table: pa.Table) -> pa.Table:
-        nodes, lists = table.column("node").to_pylist(), _token_lists(table.column("tokens"))
-        lists = [np.sort(t) for t in lists]
+    def lead(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        nodes, lists = table.column("node").to_pylist(), [np.sort(t) for t in _token_lists(table.column("tokens"))]
         sizes = np.array([len(t) for t in lists])
         owner = np.repeat(np.arange(len(lists)), sizes)
         flat = np.concatenate(lists)
@@ -167,34 +161,42 @@ def _lead(sets: DataFrame, turn: int, percent: int) -> DataFrame:
         while left.any():
             first = int(np.flatnonzero(left)[0])
             left[first] = False
-            live = left[owner]
-            shared = _overlaps(flat[live], owner[live], lists[first], len(lists))
-            hit = np.flatnonzero(left & (100 * shared >= percent * (sizes + sizes[first] - shared)))
-            left[hit] = False
-            leads.append((len(hit), first))
-            a += [nodes[first]] * len(hit)
-            b += [nodes[i] for i in hit]
-        leads = [nodes[i] for _, i in sorted(leads, reverse=True)[:LEADERS]]
-        return pa.table({"a": pa.array(a + leads, pa.binary()), "b": pa.array(b + [None] * len(leads), pa.binary())})
-
-    sets = sets.select("node", "tokens")
-    grouped = settle(sets.mapInArrow(_least_hash(turn), "node binary, g long"), "groups")
+            reached = [first]
+            for probe in reached:  # grows while it is walked
+                if not left.any():
+                    break
+                live = left[owner]
+                flat, owner = flat[live], owner[live]
+                shared = _overlaps(flat, owner, lists[probe], len(lists))
+                hit = np.flatnonzero(left & (100 * shared >= percent * (sizes + sizes[probe] - shared)))
+                left[hit] = False
+                reached += hit.tolist()
+                a += [nodes[probe]] * len(hit)
+                b += [nodes[i] for i in hit]
+            leads.append((len(reached), first))
+        leads = [i for _, i in sorted(leads, reverse=True)[:LEADERS]] if table.column("more")[0].as_py() else []
+        column = lambda values, kind: pa.array(values, kind)
+        return pa.table({
+            "a": column(a + [nodes[i] for i in leads], pa.binary()),
+            "b": column(b + [None] * len(leads), pa.binary()),
+            "g": column([key[0].as_py()] * (len(a) + len(leads)), pa.int64()),
+            "tokens": column([None] * len(a) + [lists[i].tobytes() for i in leads], pa.binary()),
+        })
+
+    grouped = sets.select("node", F.col(turn).alias("g"), "tokens")
     links = None
     while True:
-        counted = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        parted = grouped.join(counted, "g").select("node", "g", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("k") / GROUP)).alias("part"), (F.col("k") > GROUP).alias("more"))
-        found = settle(parted.join(sets, "node").groupBy("g", "part").applyInArrow(lambda key, table: _keyed(lead(table), key, table), "a binary, b binary, g long, more boolean"), "led")
-        links = found.where("b is not null").select("a", "b") if links is None else links.unionByName(found.where("b is not null").select("a", "b"))
-        grouped = found.where("b is null and more").select(F.col("a").alias("node"), "g")
-        if not grouped.limit(1).count():
+        large = settle(grouped.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP), "large")
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("k", F.lit(1)) / GROUP))
+        parted = grouped.join(large, "g", "left").select("g", part.alias("part"), "node", "tokens", F.col("k").isNotNull().alias("more"))
+        found = settle(parted.groupBy("g", "part").applyInArrow(lead, "a binary, b binary, g long, tokens binary"), "led")
+        new = found.where("b is not null").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        grouped = found.where("b is null").select(F.col("a").alias("node"), "g", "tokens")
+        if not large.limit(1).count():
             return links
 
 
-def _keyed(found: pa.Table, key, table: pa.Table) -> pa.Table:
-    more = table.column("more")[0].as_py()
-    return found.append_column("g", pa.array([key[0].as_py()] * len(found), pa.int64())).append_column("more", pa.array([more] * len(found), pa.bool_()))
-
-
 def _overlaps(flat: np.ndarray, owner: np.ndarray, query: np.ndarray, n: int) -> np.ndarray:
     """How many of each owner's tokens the query (ascending) has."""
     at = np.searchsorted(query, flat)
@@ -216,23 +218,25 @@ def _across(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                     row.append(np.full(stop - alone, i))
             if row:
                 row = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(place), pa.int64()), b.column("node").take(row), b.column("n").take(row), b.column("label").take(row), b.column("part").take(row)], names=["token", "place", "node", "n", "label", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(place), pa.int64()), b.column("node").take(row), b.column("n").take(row), *(b.column(c).take(row) for c in ("label", "k", "part"))], names=["token", "place", "node", "n", "label", "k", "part"])
 
     labelled = sets.select("node", "n", "alone").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("k"))
-    placed = settle(labelled.join(counts, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / GROUP)).alias("part")), "placed")
-    schema = "token long, place long, node binary, n long, label binary, part long"
-    prefixes = settle(sets.join(placed, "node").select("node", "n", "alone", "tokens", "label", "part").mapInArrow(prefix, schema), "prefixes")
+    placed = settle(labelled.join(counts, "label").select("node", "label", "k", F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / GROUP)).alias("part")), "placed")
+    schema = "token long, place long, node binary, n long, label binary, k long, part long"
+    prefixes = settle(sets.join(placed, "node").select("node", "n", "alone", "tokens", "label", "k", "part").mapInArrow(prefix, schema), "prefixes")
     spanning = prefixes.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     prefixes = settle(prefixes.join(spanning, "token"), "spanning")
-    matrix = prefixes.groupBy("token", F.col("label").alias("g_label"), F.col("part").alias("g_part")).agg(F.min("place").alias("g_place"), F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = prefixes.groupBy("token", F.col("label").alias("g_label"), F.col("k").alias("g_k"), F.col("part").alias("g_part")).agg(F.min("place").alias("g_place"), F.min("n").alias("least"), F.max("n").alias("most"))
     # |A & B| >= p (|A| + |B|) / (100 + p) follows from |A & B| >= p |A | B| / 100.
     bound = (1 + F.least(F.col("n") - F.col("place") - 1, F.col("most") - F.col("g_place") - 1)) * (100 + percent) >= percent * (F.col("n") + F.col("least"))
-    pairs = prefixes.join(matrix, "token").where((F.col("label") < F.col("g_label")) & bound).select("node", "g_label", "g_part").distinct()
+    # The smaller component's nodes ask, the larger one's groups are asked.
+    asks = (F.col("k") < F.col("g_k")) | ((F.col("k") == F.col("g_k")) & (F.col("label") < F.col("g_label")))
+    pairs = prefixes.join(matrix, "token").where(asks & bound).select("node", "g_label", "g_part").distinct()
     pairs = settle(pairs, "pairs")
-    asked = pairs.join(sets.select("node", "tokens"), "node").select("g_label", "g_part", "node", "tokens", F.lit(True).alias("asks"))
     opened = pairs.select("g_label", "g_part").distinct()
-    members = placed.withColumnsRenamed({"label": "g_label", "part": "g_part"}).join(opened, ["g_label", "g_part"]).join(sets.select("node", "tokens"), "node").select("g_label", "g_part", "node", "tokens", F.lit(False).alias("asks"))
+    members = placed.select("node", F.col("label").alias("g_label"), F.col("part").alias("g_part")).join(opened, ["g_label", "g_part"])
+    roles = pairs.withColumn("asks", F.lit(True)).unionByName(members.withColumn("asks", F.lit(False)))
 
     def open_group(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
@@ -255,4 +259,4 @@ def _across(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                 b.append(nodes[held[hit[0]]])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return asked.unionByName(members).groupBy("g_label", "g_part").applyInArrow(open_group, "a binary, b binary")
+    return roles.join(sets.select("node", "tokens"), "node").groupBy("g_label", "g_part").applyInArrow(open_group, "a binary, b binary")
