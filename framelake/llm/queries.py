@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import ann, chat, decontaminate, ngram_join, packing, quality, substring_dedup, toxicity, warc, workspace
+from framelake.llm import ann, chat, decontaminate, ngram_join, packing, quality, substring_dedup, token_counts, toxicity, warc, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,25 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, order_by=("doc_id", "piece", "ids_crc32"))
 
 
+#: The edits that op6 follows: addresses and long numbers are masked, runs of blank lines closed.
+REDACTIONS = (
+    token_counts.Rule(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "<email>"),
+    token_counts.Rule(r"\d[\d -]{5,}\d", "<number>"),
+    token_counts.Rule(r"\n{2,}", "\n"),
+)
+
+
+def _redactions(text: str) -> list[token_counts.Edit]:
+    return token_counts.edits_of(text, REDACTIONS)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, _redactions).drop("text")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace.scratch_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
