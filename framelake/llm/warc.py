@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.llm.workspace import settle
+
 END = "\r\n\r\n"
 MAGIC = b"WARC/1.0\r\n"
 #: The fixed alphabets of base 32 as Spark's conv() and as RFC 4648 write it.
@@ -55,7 +57,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumns({"digest": base32_sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
     # Only payloads that occur more than once need a look-up; the counts combine before the shuffle.
     again = rows.where(F.col("bytes") >= revisit_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(again, ["digest", "bytes"], "left")
+    # Written first, so that the planner knows its size: while small it is broadcast, and payloads aren't shuffled.
+    rows = rows.join(settle(again, "again"), ["digest", "bytes"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit(_HTTP), F.col("bytes").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
