@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +20,20 @@ def register(name: str, run: Query, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+#: Modules that register queries when they are imported.
+SUITES = ("video",)
+
+
+def _load() -> None:
+    for name in SUITES:
+        import_module(f"framelake.suites.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
