@@ -43,7 +43,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, user_id, ts_us, clock_us, bytes): captured packets with their time stamps and the capture clock."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(F.col("event_id").alias("seq"), "user_id", F.unix_micros("ts").alias("ts_us"), (F.unix_micros("ts") + F.col("user_id") % 97).alias("clock_us"), F.floor(F.col("value") * 10).cast("int").alias("bytes"))
+    # Without a zone on both sides, so that the session's doesn't matter.
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    return e.select(F.col("event_id").alias("seq"), "user_id", us.alias("ts_us"), (us + F.col("user_id") % 97).alias("clock_us"), F.floor(F.col("value") * 10).cast("int").alias("bytes"))
 
 
 #: The same relations in the oracle's SQL.
