@@ -29,6 +29,8 @@ from framelake.llm.workspace import settle
 BUCKET_ROWS = 50_000
 #: A configuration that leaves no room is preferred to the best if it is worth this share of it.
 NEARLY = 0.98
+#: A round uses a configuration for at most this part of all sequences.
+STEPS = 1_000
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -112,9 +114,9 @@ def _fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     """Configurations and how often to use each, rounded down, most used first: multiplicative weights on the covering program."""
     live = np.flatnonzero(demand)
     lengths, demand = lengths[live], demand[live]
-    step_most = max(1.0, float((lengths * demand).sum()) / capacity / rounds)
+    step_most = max(1.0, float((lengths * demand).sum()) / capacity / STEPS)
     cover, uses = np.zeros(len(lengths)), {}
-    steep = np.log(max(2, len(lengths)))
+    steep = 10 * np.log(max(2, len(lengths)))
     for _ in range(rounds):
         share = cover / demand
         if share.min() >= 1:
@@ -129,27 +131,33 @@ def _fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return [({int(live[i]): a for i, a in name}, int(x)) for name, x in sorted(uses.items(), key=lambda u: -u[1])]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = 2048, rounds: int = 250, passes: int = 1) -> Plan:
-    """The plan for so many pieces of each length (1 to capacity). passes: the program is solved again for what rounding left."""
-    lengths = np.array(sorted(histogram), np.int64)
-    demand = np.array([histogram[int(x)] for x in lengths], np.int64)
+def _rounded(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations with their uses that cover the demand exactly."""
     left = demand.copy()
     chosen: list[tuple[dict[int, int], int]] = []
-    for _ in range(passes):
-        if left.sum() < 2 * len(lengths):
-            break
-        for found, times in _fractional(lengths, left, capacity, rounds):
-            times = min(times, *(int(left[i]) // a for i, a in found.items()))
-            if times:
-                chosen.append((found, times))
-                for i, a in found.items():
-                    left[i] -= times * a
+    if len(lengths) and lengths[-1] == capacity:  # full pieces have one configuration only
+        chosen.append(({len(lengths) - 1: 1}, int(left[-1])))
+        left[-1] = 0
+    for found, times in _fractional(lengths, left, capacity, rounds) if left.any() else ():
+        times = min(times, *(int(left[i]) // a for i, a in found.items()))
+        if times:
+            chosen.append((found, times))
+            for i, a in found.items():
+                left[i] -= times * a
     while left.any():
         found = _fill(left, lengths, capacity)
         times = min(int(left[i]) // a for i, a in found.items())
         chosen.append((found, times))
         for i, a in found.items():
             left[i] -= times * a
+    return chosen
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int = 2048, rounds: int = 800) -> Plan:
+    """The plan for so many pieces of each length (1 to capacity)."""
+    lengths = np.array(sorted(histogram), np.int64)
+    demand = np.array([histogram[int(x)] for x in lengths], np.int64)
+    chosen = _rounded(lengths, demand, capacity, rounds)
     rank, sequence = np.zeros(len(lengths), np.int64), 0
     rows = []
     for found, times in chosen:
