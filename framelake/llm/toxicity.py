@@ -3,7 +3,7 @@
 Labels say toxic or not; the grades are 0 for what is not and 1 to `GRADES` for
 equal parts of what is, by the share of words that mark the toxic class. Features
 are whole words and word beginnings (insults are inflected), hashed; those whose
-log odds between the classes lie far enough from zero are kept, and count per
+shares in the two classes lie far enough apart are kept, and count per
 square root of the text's length, so that neither length alone nor one chance
 word decides. All thresholds P(grade > k) = 1 / (1 + exp(t_k - w x)) share the
 weights w and stay in order, as t_k grows by exponentials. The output is the
@@ -109,9 +109,10 @@ def train(docs: DataFrame, labels: DataFrame, wanted: Column, label: str = "toxi
     if not n_pos or not n_neg:
         return nothing
     counts = sample.mapInArrow(count, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
-    odds = F.log(p / (F.lit(n_pos + 1) - F.col("pos"))) - F.log(q / (F.lit(n_neg + 1) - F.col("neg")))
-    scored = counts.where("pos + neg >= 3").select("bucket", (odds / F.sqrt(1 / p + 1 / q)).alias("z")).where(F.abs("z") >= least_z)
+    # Two-proportion z: how far apart the shares of either class that have the feature lie.
+    p, q, both = F.col("pos") / n_pos, F.col("neg") / n_neg, (F.col("pos") + F.col("neg")) / (n_pos + n_neg)
+    spread_ = F.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_neg) + 1e-12)
+    scored = counts.where("pos + neg >= 3").select("bucket", ((p - q) / spread_).alias("z")).where(F.abs("z") >= least_z)
     table = scored.orderBy(F.desc(F.abs("z")), "bucket").limit(features).toPandas().sort_values("bucket")
     buckets, marks = table["bucket"].to_numpy(np.int64), table["z"].to_numpy() > 0
     if not len(buckets):
