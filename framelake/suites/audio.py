@@ -11,26 +11,25 @@ from framelake.plans.timeline import EditList
 from framelake.sources.tables import SQL_PACKETS, SQL_SAMPLES, packets, samples
 from framelake.streaming import capture
 
-L, R = F.col("l"), F.col("r")
 
-
-def _expr(name: str, columns: dict, sql: str) -> None:
-    register(name, lambda s, d: samples(s, d).select("pos", *(c.cast("int").alias(n) for n, c in columns.items())), f"WITH {SQL_SAMPLES} SELECT pos, {sql} FROM smp")
+def _expr(name: str, make, sql: str) -> None:
+    """A filter without memory; make(l, r): its output columns by name. Columns exist only once a session does."""
+    register(name, lambda s, d: samples(s, d).select("pos", *(c.cast("int").alias(n) for n, c in make(F.col("l"), F.col("r")).items())), f"WITH {SQL_SAMPLES} SELECT pos, {sql} FROM smp")
 
 
 CLIP = lambda v: f"CAST(greatest(-32768, least(32767, {v})) AS INT)"
-_expr("a_16_to_8", {"l": audio.to_8(L), "r": audio.to_8(R)}, "(l + 32768) >> 8 AS l, (r + 32768) >> 8 AS r")
-_expr("a_8_to_16", {"l": audio.to_16(audio.to_8(L)), "r": audio.to_16(audio.to_8(R))}, "(((l + 32768) >> 8) - 128) * 256 AS l, (((r + 32768) >> 8) - 128) * 256 AS r")
-_expr("a_mono_16", {"v": audio.mono_16(L, R)}, "CAST(floor((l + r) / 2) AS INT) AS v")
-_expr("a_mono_8", {"v": audio.mono_8(audio.to_8(L), audio.to_8(R))}, "(((l + 32768) >> 8) + ((r + 32768) >> 8)) // 2 AS v")
-_expr("a_mono_16_to_8", {"v": audio.mono_16_to_8(L, R)}, "CAST(floor((l + r + 65536) / 512) AS INT) AS v")
-_expr("a_float_round_trip", {"l": audio.float_to_16(L / 32768.0), "r": audio.float_to_16(R / 32768.0)}, "l, r")
-_expr("a_gain", {"l": audio.gain(L, 1.7), "r": audio.gain(R, 1.7)}, f"{CLIP('(l * 435 + 128) >> 8')} AS l, {CLIP('(r * 435 + 128) >> 8')} AS r")
-_expr("a_amplify_16", {"l": audio.amplify_16(L, 0.6), "r": audio.amplify_16(R, 2.5)}, f"{CLIP('(l * 154 + 128) >> 8')} AS l, {CLIP('(r * 640 + 128) >> 8')} AS r")
-_expr("a_amplify_8", {"l": audio.amplify_8(audio.to_8(L), 1.5)}, "CAST(greatest(0, least(255, (((l + 32768) >> 8) * 384 + 32896 - 49152) >> 8)) AS INT) AS l")
-_expr("a_butterfly", dict(zip("lr", audio.butterfly(L, R), strict=True)), "(l + r) >> 1 AS l, (l - r) >> 1 AS r")
-_expr("a_mu_law", {"v": audio.decode_x_law(audio.to_8(L), "mu")}, "CASE WHEN (xor((l + 32768) >> 8, 255) & 128) > 0 THEN -1 ELSE 1 END * ((((xor((l + 32768) >> 8, 255) & 15) * 8 + 132) << ((xor((l + 32768) >> 8, 255) >> 4) & 7)) - 132) AS v")
-_expr("a_a_law", {"v": audio.decode_x_law(audio.to_8(L), "a")}, "CASE WHEN (xor((l + 32768) >> 8, 85) & 128) > 0 THEN 1 ELSE -1 END * CASE (xor((l + 32768) >> 8, 85) >> 4) & 7 WHEN 0 THEN (xor((l + 32768) >> 8, 85) & 15) * 16 + 8 ELSE ((xor((l + 32768) >> 8, 85) & 15) * 16 + 264) << greatest(0, ((xor((l + 32768) >> 8, 85) >> 4) & 7) - 1) END AS v")
+_expr("a_16_to_8", lambda l, r: {"l": audio.to_8(l), "r": audio.to_8(r)}, "(l + 32768) >> 8 AS l, (r + 32768) >> 8 AS r")
+_expr("a_8_to_16", lambda l, r: {"l": audio.to_16(audio.to_8(l)), "r": audio.to_16(audio.to_8(r))}, "(((l + 32768) >> 8) - 128) * 256 AS l, (((r + 32768) >> 8) - 128) * 256 AS r")
+_expr("a_mono_16", lambda l, r: {"v": audio.mono_16(l, r)}, "CAST(floor((l + r) / 2) AS INT) AS v")
+_expr("a_mono_8", lambda l, r: {"v": audio.mono_8(audio.to_8(l), audio.to_8(r))}, "(((l + 32768) >> 8) + ((r + 32768) >> 8)) // 2 AS v")
+_expr("a_mono_16_to_8", lambda l, r: {"v": audio.mono_16_to_8(l, r)}, "CAST(floor((l + r + 65536) / 512) AS INT) AS v")
+_expr("a_float_round_trip", lambda l, r: {"l": audio.float_to_16(l / 32768.0), "r": audio.float_to_16(r / 32768.0)}, "l, r")
+_expr("a_gain", lambda l, r: {"l": audio.gain(l, 1.7), "r": audio.gain(r, 1.7)}, f"{CLIP('(l * 435 + 128) >> 8')} AS l, {CLIP('(r * 435 + 128) >> 8')} AS r")
+_expr("a_amplify_16", lambda l, r: {"l": audio.amplify_16(l, 0.6), "r": audio.amplify_16(r, 2.5)}, f"{CLIP('(l * 154 + 128) >> 8')} AS l, {CLIP('(r * 640 + 128) >> 8')} AS r")
+_expr("a_amplify_8", lambda l, r: {"l": audio.amplify_8(audio.to_8(l), 1.5)}, "CAST(greatest(0, least(255, (((l + 32768) >> 8) * 384 + 32896 - 49152) >> 8)) AS INT) AS l")
+_expr("a_butterfly", lambda l, r: dict(zip("lr", audio.butterfly(l, r), strict=True)), "(l + r) >> 1 AS l, (l - r) >> 1 AS r")
+_expr("a_mu_law", lambda l, r: {"v": audio.decode_x_law(audio.to_8(l), "mu")}, "CASE WHEN (xor((l + 32768) >> 8, 255) & 128) > 0 THEN -1 ELSE 1 END * ((((xor((l + 32768) >> 8, 255) & 15) * 8 + 132) << ((xor((l + 32768) >> 8, 255) >> 4) & 7)) - 132) AS v")
+_expr("a_a_law", lambda l, r: {"v": audio.decode_x_law(audio.to_8(l), "a")}, "CASE WHEN (xor((l + 32768) >> 8, 85) & 128) > 0 THEN 1 ELSE -1 END * CASE (xor((l + 32768) >> 8, 85) >> 4) & 7 WHEN 0 THEN (xor((l + 32768) >> 8, 85) & 15) * 16 + 8 ELSE ((xor((l + 32768) >> 8, 85) & 15) * 16 + 264) << greatest(0, ((xor((l + 32768) >> 8, 85) >> 4) & 7) - 1) END AS v")
 
 
 def _delayed(s: SparkSession, d: str) -> DataFrame:

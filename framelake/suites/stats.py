@@ -12,9 +12,14 @@ from framelake.operators.point import luma
 from framelake.sources.tables import SQL_CHUNKS, SQL_PACKETS, SQL_PIXELS, SQL_SAMPLES, chunks, frames, packets, pixels, samples
 
 _PX = lambda s, d: pixels(frames(s, d))
-_Y = F.shiftright(luma((F.col("r"), F.col("g"), F.col("b"))), 8)
 
-register("agg_histogram_gray", lambda s, d: stats.histogram(_PX(s, d), _Y), f"WITH {SQL_PIXELS} SELECT frame, (19 * b + 183 * g + 54 * r) >> 8 AS bin, count(*) AS n FROM px GROUP BY 1, 2")
+
+def _luma():
+    return F.shiftright(luma((F.col("r"), F.col("g"), F.col("b"))), 8)
+
+
+
+register("agg_histogram_gray", lambda s, d: stats.histogram(_PX(s, d), _luma()), f"WITH {SQL_PIXELS} SELECT frame, (19 * b + 183 * g + 54 * r) >> 8 AS bin, count(*) AS n FROM px GROUP BY 1, 2")
 register("agg_histogram_red", lambda s, d: stats.histogram(_PX(s, d), F.col("r")), f"WITH {SQL_PIXELS} SELECT frame, r AS bin, count(*) AS n FROM px GROUP BY 1, 2")
 register("agg_histogram_shot", lambda s, d: stats.histogram(_PX(s, d).join(frames(s, d).select("frame", "shot"), "frame"), F.col("g"), ("shot",), 3), f"WITH {SQL_PIXELS} SELECT shot, g >> 3 AS bin, count(*) AS n FROM px GROUP BY 1, 2")
 register("agg_channel_cube", lambda s, d: stats.channel_cube(_PX(s, d)), f"WITH {SQL_PIXELS}, t AS (SELECT r >> 6 AS r, g >> 6 AS g, b >> 6 AS b FROM px) SELECT coalesce(r, -1) AS r, coalesce(g, -1) AS g, coalesce(b, -1) AS b, count(*) AS n FROM t GROUP BY CUBE (r, g, b)")
