@@ -122,9 +122,10 @@ def train(docs: DataFrame, labels: DataFrame, wanted: Column, label: str = "toxi
         for b in batches:
             for lo, part in slices(b.column("text")):
                 at, x, share = _rows(part, buckets, marks)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64())), pa.array(share), b.column("y").slice(lo, len(part))], names=["at", "x", "share", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int16())), pa.array([v.astype(np.float32) for v in x], pa.list_(pa.float32())), pa.array(share), b.column("y").slice(lo, len(part))], names=["at", "x", "share", "y"])
 
-    data = sample.mapInArrow(gather, "at array<int>, x array<double>, share double, y int").toPandas()
+    # Six bytes for each chosen feature of a sampled row: at most 6 * most * features bytes, in practice a few MB.
+    data = sample.mapInArrow(gather, "at array<smallint>, x array<float>, share double, y int").toPandas()
     toxic, share = data["y"].to_numpy() > 0, data["share"].to_numpy()
     edges = np.quantile(share[toxic], np.arange(1, GRADES) / GRADES)
     grade = np.where(toxic, 1 + np.searchsorted(edges, share, "right"), 0)
