@@ -51,7 +51,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same relations in the oracle's SQL.
 SQL_PIXELS = """
 px AS (
-  SELECT frame, shot, i % 8 AS x, i // 8 AS y, v AS r, v * 3 % 256 AS g, v * 7 % 256 AS b FROM (
+  SELECT frame, shot, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y, v AS r, v * 3 % 256 AS g, v * 7 % 256 AS b FROM (
     SELECT vec_id AS frame, label AS shot, generate_subscripts(embedding, 1) - 1 AS i,
       CAST(floor((CAST(unnest(embedding) AS DOUBLE) + 1) * 127.5) AS INT) AS v FROM embeddings)
 )"""

@@ -96,7 +96,18 @@ register(
     f"WITH {SQL_PACKETS}, c AS (SELECT user_id AS stream, seq, (ts_us - min(ts_us) OVER (PARTITION BY user_id)) % 4294967296 AS ts_us FROM pkt), l AS (SELECT *, lag(ts_us) OVER (PARTITION BY stream ORDER BY seq) AS last FROM c), j AS (SELECT *, CASE WHEN ts_us < last AND ts_us < 10000000 AND last >= 2138000000 AND abs(ts_us + CASE WHEN last >= 4285000000 THEN 4294967296 ELSE 2147483648 END - last) <= 5000000 THEN CASE WHEN last >= 4285000000 THEN 4294967296 ELSE 2147483648 END ELSE 0 END AS jump FROM l) SELECT stream, seq, CAST(ts_us + sum(jump) OVER (PARTITION BY stream ORDER BY seq) AS BIGINT) AS ts_us FROM j",
 )
 #: One frame in 10 s of clock: about the events' rate, so that all three actions occur.
-register("cap_resync", lambda s, d: capture.resync(_captured(s, d), 0.001, 10), None)
+register(
+    "cap_resync",
+    lambda s, d: capture.resync(_captured(s, d), 0.001, 10),
+    f"""WITH RECURSIVE {SQL_PACKETS}, c AS (SELECT user_id AS stream, seq, (ts_us - min(ts_us) OVER (PARTITION BY user_id)) % 4294967296 AS ts_us, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM pkt),
+walk(stream, k, seq, ts_us, action, inserted, written) AS (
+  SELECT stream, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST('' AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM c WHERE k = 1
+  UNION ALL SELECT stream, k, seq, ts_us, CASE WHEN e < -0.75 THEN 'drop' WHEN x > 0 THEN 'insert' ELSE 'keep' END, x, w + CASE WHEN e < -0.75 THEN 0 ELSE 1 + x END
+  FROM (SELECT c.*, walk.written AS w, c.ts_us * 0.001::DOUBLE / 1000000 - walk.written AS e,
+      CASE WHEN c.ts_us * 0.001::DOUBLE / 1000000 - walk.written > 0.75 AND walk.written > 0 THEN least(CAST(floor(c.ts_us * 0.001::DOUBLE / 1000000 - walk.written + 0.5) AS BIGINT), 10) ELSE 0 END AS x
+    FROM walk JOIN c ON c.stream = walk.stream AND c.k = walk.k + 1))
+SELECT stream, seq, ts_us, action, CAST(inserted AS INT) AS inserted, written FROM walk WHERE k > 0""",
+)
 register("cap_control", lambda s, d: capture.control(packets(s, d).select(F.col("user_id").alias("stream"), "seq", ((F.col("bytes") % 200 - 100) / 10.0).alias("error"))), None)
 register(
     "cap_summaries",

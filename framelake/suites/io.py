@@ -73,7 +73,16 @@ def _wav(s: SparkSession, d: str) -> DataFrame:
 
 
 register("io_wav", _wav, f"WITH {SQL_SAMPLES} SELECT pos, l, r FROM smp")
-register("io_segments", lambda s, d: files.segments(chunks(s, d).select(F.col("kind").alias("stream"), F.col("chunk").alias("frame"), "size"), "size", 100_000, 40), None)
+register(
+    "io_segments",
+    lambda s, d: files.segments(chunks(s, d).select(F.col("kind").alias("stream"), F.col("chunk").alias("frame"), "size"), "size", 100_000, 40),
+    f"""WITH RECURSIVE {SQL_CHUNKS}, c AS (SELECT kind AS stream, chunk AS frame, size, row_number() OVER (PARTITION BY kind ORDER BY chunk) AS k FROM chk),
+walk(stream, k, frame, size, segment, held, n) AS (
+  SELECT stream, k, frame, size, CAST(0 AS BIGINT), CAST(size + 24 AS BIGINT), CAST(1 AS BIGINT) FROM c WHERE k = 1
+  UNION ALL SELECT stream, k, frame, size, segment + CASE WHEN cut THEN 1 ELSE 0 END, CASE WHEN cut THEN 0 ELSE held END + size + 24, CASE WHEN cut THEN 0 ELSE n END + 1
+  FROM (SELECT c.*, w.segment, w.held, w.n, w.held + c.size + 24 > 100000 OR w.n >= 40 AS cut FROM walk w JOIN c ON c.stream = w.stream AND c.k = w.k + 1))
+SELECT stream, frame, size, CAST(segment AS INT) AS segment FROM walk""",
+)
 register("io_stripes", lambda s, d: files.stripes(frames(s, d).select("frame"), 3), "SELECT vec_id AS frame, vec_id % 3 AS stripe FROM embeddings")
 register("io_append", lambda s, d: files.append(frames(s, d).select("frame"), frames(s, d).select("frame")), "SELECT vec_id AS frame FROM embeddings UNION ALL SELECT vec_id + (SELECT max(vec_id) + 1 FROM embeddings) FROM embeddings")
 

@@ -23,7 +23,7 @@ register("agg_histogram_gray", lambda s, d: stats.histogram(_PX(s, d), _luma()),
 register("agg_histogram_red", lambda s, d: stats.histogram(_PX(s, d), F.col("r")), f"WITH {SQL_PIXELS} SELECT frame, r AS bin, count(*) AS n FROM px GROUP BY 1, 2")
 register("agg_histogram_shot", lambda s, d: stats.histogram(_PX(s, d).join(frames(s, d).select("frame", "shot"), "frame"), F.col("g"), ("shot",), 3), f"WITH {SQL_PIXELS} SELECT shot, g >> 3 AS bin, count(*) AS n FROM px GROUP BY 1, 2")
 register("agg_channel_cube", lambda s, d: stats.channel_cube(_PX(s, d)), f"WITH {SQL_PIXELS}, t AS (SELECT r >> 6 AS r, g >> 6 AS g, b >> 6 AS b FROM px) SELECT coalesce(r, -1) AS r, coalesce(g, -1) AS g, coalesce(b, -1) AS b, count(*) AS n FROM t GROUP BY CUBE (r, g, b)")
-register("agg_tile_means", lambda s, d: stats.tile_means(_PX(s, d), 4), f"WITH {SQL_PIXELS} SELECT frame, x // 4 AS tx, y // 4 AS ty, {', '.join(f'(sum({c}) + 8)::BIGINT >> 4 AS {c}' for c in 'rgb')} FROM px GROUP BY 1, 2, 3")
+register("agg_tile_means", lambda s, d: stats.tile_means(_PX(s, d), 4), f"WITH {SQL_PIXELS} SELECT frame, CAST(x // 4 AS BIGINT) AS tx, CAST(y // 4 AS BIGINT) AS ty, {', '.join(f'(sum({c}) + 8)::BIGINT >> 4 AS {c}' for c in 'rgb')} FROM px GROUP BY 1, 2, 3")
 _SCENE = f"""WITH {SQL_PIXELS}, tiles AS (SELECT frame, x // 4 AS tx, y // 4 AS ty, {', '.join(f'(sum({c}) + 8)::BIGINT >> 4 AS {c}' for c in 'rgb')} FROM px GROUP BY 1, 2, 3),
 l AS (SELECT *, (54 * r + 183 * g + 19 * b + 128) >> 8 AS y, (54 * abs(r - lag(r) OVER w) + 183 * abs(g - lag(g) OVER w) + 19 * abs(b - lag(b) OVER w)) >> 8 AS d FROM tiles WINDOW w AS (PARTITION BY tx, ty ORDER BY frame))
 SELECT frame, CAST(coalesce(sum(d), 0) AS BIGINT) AS metric, coalesce(sum(d), 0) > 60 AS is_cut, sqrt(CAST(count(*) * sum(y * y) - sum(y) * sum(y) AS DOUBLE)) < 30 AS is_fade FROM l GROUP BY frame"""

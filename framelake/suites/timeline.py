@@ -129,5 +129,5 @@ register(
     f"""WITH {SQL_PIXELS}, v(ord, start, len, masked) AS (VALUES (0, 0, 10, false), (1, 300, 25, false), (2, 40, 5, false), (3, 10, 40, false), (4, 80, 50, false), (5, 130, 20, true), (6, 150, 250, false), (7, 480, 15, false)),
 p AS (SELECT *, sum(len) OVER (ORDER BY ord) - len AS dst0 FROM v), shown AS (SELECT CAST(i AS BIGINT) AS place, CASE WHEN masked THEN 129 ELSE start + i - dst0 END AS frame FROM p, range(0, 415) t(i) WHERE i >= dst0 AND i < dst0 + len),
 g AS (SELECT frame, {', '.join(f"{_LV.format(v=f'(255 - {c})')} AS {c}" for c in 'rgb')} FROM px), h AS (SELECT frame, (19 * b + 183 * g + 54 * r) >> 12 AS bin, count(*) AS n FROM g GROUP BY 1, 2)
-SELECT s.place, CAST(s.frame AS BIGINT) AS frame, h.bin, h.n FROM shown s JOIN h ON h.frame = s.frame""",
+SELECT s.place, CAST(s.frame AS BIGINT) AS frame, CAST(h.bin AS INT) AS bin, h.n FROM shown s JOIN h ON h.frame = s.frame""",
 )

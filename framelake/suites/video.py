@@ -193,13 +193,54 @@ def _box_sql() -> str:
 
 
 _spatial("f_box_blur", spatial.box_blur(2), _box_sql())
-_spatial("f_box_blur_cubic", spatial.box_blur(1, 3), None)
-_spatial("f_smoother", spatial.smoother(40_000), None)
-_spatial("f_chroma_smoother", spatial.chroma_smoother, None)
+
+
+def _cubic_sql() -> str:
+    """Three passes of a box of three along rows, then three along columns."""
+    steps, before = [], "px"
+    for i, (by, part) in enumerate((("x", "frame, y"),) * 3 + (("y", "frame, x"),) * 3):
+        w = f"(PARTITION BY {part} ORDER BY {by})"
+        sums = ", ".join(f"((coalesce(lag({c}) OVER {w}, {c}) + {c} + coalesce(lead({c}) OVER {w}, {c})) * 21846) >> 16 AS {c}" for c in "rgb")
+        steps.append(f"s{i} AS (SELECT frame, x, y, {sums} FROM {before})")
+        before = f"s{i}"
+    return f"WITH {SQL_PIXELS}, {', '.join(steps)} SELECT frame, x, y, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM s5"
+
+
+def _edges(dx: int, dy: int) -> str:
+    return "(" + " + ".join(f"abs({_near(dx, dy, c)} - {_near(-dx, -dy, c)})" for c in "rgb") + ")"
+
+
+def _smoother_sql(threshold: int) -> str:
+    weights = (1, 2, 1, 2, 4, 2, 1, 2, 1)
+    mean = lambda c: "((" + " + ".join(f"{k} * {_near(i % 3 - 1, i // 3 - 1, c)}" for i, k in enumerate(weights)) + " + 8) >> 4)"
+    grid = _grid(lambda c: mean(c))
+    head, _, _ = grid.rpartition(" SELECT frame, x, y")
+    edge = f"CASE WHEN {_edges(1, 0)} * {_edges(1, 0)} + {_edges(0, 1)} * {_edges(0, 1)} > {threshold} THEN 1 ELSE 0 END"
+    kept = ", ".join(f"CAST(CASE WHEN m.e > 0 THEN m.{c} ELSE m.s_{c} END AS INT) AS {c}" for c in "rgb")
+    means = ", ".join(f"{mean(c)} AS s_{c}, {_near(0, 0, c)} AS {c}" for c in "rgb")
+    return (
+        f"{head}, one AS (SELECT frame, x, y, {edge} AS edge, {means} FROM near), "
+        "m AS (SELECT p.*, (SELECT max(q.edge) FROM one q WHERE q.frame = p.frame AND q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1) AS e FROM one p) "
+        f"SELECT m.frame, m.x, m.y, {kept} FROM m"
+    )
+
+
+_SOFT = lambda c: f"({_near(-1, 0, c)} + 2 * {_near(0, 0, c)} + {_near(1, 0, c)})"
+_DELTA = "((4 * (" + " + ".join(f"{k} * {_near(0, 0, c)}" for k, c in zip((54, 183, 19), "rgb", strict=True)) + ") - (" + " + ".join(f"{k} * {_SOFT(c)}" for k, c in zip((54, 183, 19), "rgb", strict=True)) + ") + 512) >> 10)"
+_spatial("f_box_blur_cubic", spatial.box_blur(1, 3), _cubic_sql())
+_spatial("f_smoother", spatial.smoother(40_000), _smoother_sql(40_000))
+_spatial("f_chroma_smoother", spatial.chroma_smoother, _grid(lambda c: clamp(f"(({_SOFT(c)} + 2) >> 2) + {_DELTA}")))
 _spatial("f_warp_sharp", spatial.warp_sharp(3), None)
 _spatial("f_warp_resize", spatial.warp_resize(16, 12, 2), None, 16)
 _spatial("f_reduce2", spatial.reduce2, f"WITH {SQL_PIXELS} SELECT frame, x // 2 AS x, y // 2 AS y, {', '.join(f'CAST((sum({c}) + 2)::BIGINT >> 2 AS INT) AS {c}' for c in 'rgb')} FROM px GROUP BY 1, 2, 3", 4)
-_spatial("f_reduce2_hq", spatial.reduce2_hq, None, 4)
+_HQ = lambda c: (
+    "CASE WHEN x = 0 OR y = 0 THEN ("
+    + " + ".join(f"CASE WHEN x + ({dx}) BETWEEN 0 AND 7 AND y + ({dy}) BETWEEN 0 AND 7 THEN {_near(dx, dy, c)} ELSE 0 END" for dx in (-1, 0, 1) for dy in (-1, 0, 1))
+    + ") // 9 ELSE ("
+    + " + ".join(f"{k} * {_near(i % 3 - 1, i // 3 - 1, c)}" for i, k in enumerate((1, 2, 1, 2, 4, 2, 1, 2, 1)))
+    + " + 8) >> 4 END"
+)
+_spatial("f_reduce2_hq", spatial.reduce2_hq, f"SELECT frame, x // 2 AS x, y // 2 AS y, r, g, b FROM ({_grid(_HQ)}) WHERE x % 2 = 0 AND y % 2 = 0", 4)
 _spatial("f_flip_horizontal", spatial.flip(True), f"WITH {SQL_PIXELS} SELECT frame, 7 - x AS x, y, r, g, b FROM px")
 _spatial("f_flip_vertical", spatial.flip(False), f"WITH {SQL_PIXELS} SELECT frame, x, 7 - y AS y, r, g, b FROM px")
 _spatial("f_rotate_left", spatial.rotate("left"), f"WITH {SQL_PIXELS} SELECT frame, y AS x, 7 - x AS y, r, g, b FROM px")
@@ -217,8 +258,45 @@ _spatial(
     f"WITH {SQL_PIXELS}, grid AS (SELECT DISTINCT frame, CAST(gx AS INT) AS x, CAST(gy AS INT) AS y FROM px, range(0, 10) a(gx), range(0, 9) b(gy)) SELECT g.frame, g.x, g.y, coalesce(p.r, 5) AS r, coalesce(p.g, 6) AS g, coalesce(p.b, 7) AS b FROM grid g LEFT JOIN px p ON p.frame = g.frame AND p.x = g.x - 1 AND p.y = g.y - 1",
     10,
 )
+
+
+def _resize_sql(kernel: str, reach: float, widens: bool) -> str:
+    """Separable resampling to 12 x 6: weights in 1/16384 from the kernel of t, the largest taking what rounding left."""
+    def weights(source: int, target: int) -> str:
+        scale = max(1.0, source / target) if widens else 1.0
+        span = int(-(-reach * scale // 1)) + 1
+        at = f"floor(((o + 0.5) * {source} / {target} - 0.5) * 256 + 0.5) / 256"
+        return (
+            f"SELECT o, greatest(0, least({source - 1}, CAST(i AS INT))) AS i, sum(f + CASE WHEN k = 1 THEN 16384 - total ELSE 0 END)::BIGINT AS w FROM ("
+            "SELECT *, sum(f) OVER (PARTITION BY o) AS total, row_number() OVER (PARTITION BY o ORDER BY f DESC, i) AS k FROM ("
+            "SELECT o, i, floor(v / sum(v) OVER (PARTITION BY o) * 16384 + 0.5)::BIGINT AS f FROM ("
+            f"SELECT o, i, CAST({kernel} AS DOUBLE) AS v FROM (SELECT o, i, abs((i - a) / {scale}::DOUBLE) AS t FROM (SELECT o, a, floor(a) + d AS i FROM (SELECT o, CAST({at} AS DOUBLE) AS a FROM range(0, {target}) r(o)), range({-span}, {span + 1}) s(d)))))) GROUP BY 1, 2"
+        )
+
+    rows = ", ".join(f"greatest(0, least(255, (sum(p.{c} * w.w)::BIGINT + 8192) >> 14)) AS {c}" for c in "rgb")
+    return (
+        f"WITH {SQL_PIXELS}, wx AS ({weights(8, 12)}), wy AS ({weights(8, 6)}), h AS (SELECT p.frame, w.o AS x, p.y, {rows} FROM px p JOIN wx w ON w.i = p.x GROUP BY 1, 2, 3) "
+        f"SELECT p.frame, CAST(p.x AS INT) AS x, CAST(w.o AS INT) AS y, {', '.join(f'CAST(greatest(0, least(255, (sum(p.{c} * w.w)::BIGINT + 8192) >> 14)) AS INT) AS {c}' for c in 'rgb')} FROM h p JOIN wy w ON w.i = p.y GROUP BY 1, 2, 3"
+    )
+
+
+def _cubic_kernel(a: str) -> str:
+    return f"CASE WHEN t < 1 THEN 1 + t * t * (-(({a}) + 3) + (({a}) + 2) * t) WHEN t < 2 THEN -4 * ({a}) + t * (8 * ({a}) + t * (-5 * ({a}) + ({a}) * t)) ELSE 0 END"
+
+
+_SINC = lambda v: f"CASE WHEN {v} = 0 THEN 1 ELSE sin(pi() * {v}) / (pi() * {v}) END"
+_RESIZE_SQL = {
+    "nearest": None,
+    "bilinear": _resize_sql("greatest(0, 1 - t)", 1, False),
+    "bicubic": _resize_sql(_cubic_kernel("-0.75::DOUBLE"), 2, False),
+    "precise_bilinear": _resize_sql("greatest(0, 1 - t)", 1, True),
+    "precise_bicubic_075": _resize_sql(_cubic_kernel("-0.75::DOUBLE"), 2, True),
+    "precise_bicubic_060": _resize_sql(_cubic_kernel("-0.6::DOUBLE"), 2, True),
+    "precise_bicubic_100": _resize_sql(_cubic_kernel("-1.0::DOUBLE"), 2, True),
+    "lanczos3": _resize_sql(f"CASE WHEN t < 3 THEN ({_SINC('t')}) * ({_SINC('(t / 3)')}) ELSE 0 END", 3, True),
+}
 for _mode in spatial.RESIZE:
-    _spatial(f"f_resize_{_mode}", spatial.resize(12, 6, _mode), None, 12)
+    _spatial(f"f_resize_{_mode}", spatial.resize(12, 6, _mode), _RESIZE_SQL[_mode], 12)
 _spatial("f_resize_nearest_double", spatial.resize(16, 16, "nearest"), f"WITH {SQL_PIXELS} SELECT frame, CAST(x * 2 + dx AS INT) AS x, CAST(y * 2 + dy AS INT) AS y, r, g, b FROM px, range(0, 2) a(dx), range(0, 2) b(dy)", 16)
 _spatial("f_hsv_identity", spatial.hsv(0), None)
 _spatial("f_hsv_black", spatial.hsv(0, 256, -256), f"WITH {SQL_PIXELS} SELECT frame, x, y, 0 AS r, 0 AS g, 0 AS b FROM px")
