@@ -331,3 +331,49 @@ def hsv(hue: int, saturation: int = 256, value: int = 0) -> Kernel:
         return {k: np.where(gray, bottom, rise(o) + bottom) for k, o in (("r", 0 * n), ("g", 4 * n), ("b", 2 * n))}
 
     return run
+
+
+def luma_squish(planes: Planes) -> Planes:
+    """Full range to the broadcast range, 16 to 235."""
+    return each(lambda p: (p * 219 + 127) // 255 + 16)(planes)
+
+
+def vertical_squash(planes: Planes) -> Planes:
+    """Half the height, rows averaged in pairs, rounded up."""
+    return each(lambda p: (p[:, ::2] + p[:, 1::2] + 1) >> 1)(planes)
+
+
+#: Glyphs of 3 x 5 pixels, a row of bits each, for time codes; fixed values.
+GLYPHS = {
+    "0": (7, 5, 5, 5, 7), "1": (2, 6, 2, 2, 7), "2": (7, 1, 7, 4, 7), "3": (7, 1, 3, 1, 7), "4": (5, 5, 7, 1, 1),
+    "5": (7, 4, 7, 1, 7), "6": (7, 4, 7, 5, 7), "7": (7, 1, 2, 2, 2), "8": (7, 5, 7, 5, 7), "9": (7, 5, 7, 1, 7),
+    ":": (0, 2, 0, 2, 0), ".": (0, 0, 0, 0, 2), "-": (0, 0, 7, 0, 0), " ": (0, 0, 0, 0, 0),
+}
+
+
+def text_mask(text: str) -> np.ndarray:
+    """(5, 4 * length) of whether a pixel is lit; characters without a glyph are blank."""
+    rows = [[(GLYPHS.get(c, GLYPHS[" "])[y] >> (2 - x)) & 1 if x < 3 else 0 for c in text for x in range(4)] for y in range(5)]
+    return np.array(rows, bool).reshape(5, 4 * len(text))
+
+
+def draw_text(text: str, left: int, top: int, color: tuple[int, int, int]) -> Kernel:
+    """Digits and marks of a time code, cut off at the frame's edge."""
+    mask = text_mask(text)
+
+    def run(planes: Planes) -> Planes:
+        out = {}
+        for (k, p), lit in zip(planes.items(), color, strict=True):
+            q = p.copy()
+            part = q[:, top : top + 5, left : left + mask.shape[1]]
+            part[:, mask[: part.shape[1], : part.shape[2]]] = lit
+            out[k] = q
+        return out
+
+    return run
+
+
+def timecode(frame: int, rate: float) -> str:
+    """hours:minutes:seconds.frames of a frame."""
+    seconds, rest = divmod(frame, max(1, round(rate)))
+    return f"{seconds // 3600:02d}:{seconds // 60 % 60:02d}:{seconds % 60:02d}.{rest:02d}"

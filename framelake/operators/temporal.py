@@ -178,3 +178,27 @@ def inverse_telecine(frames: DataFrame, phase: int = 0) -> DataFrame:
     """Five frames become four: the frame at `phase` of each five goes and the rest are numbered anew."""
     kept = frames.where(F.pmod(F.col("frame"), F.lit(5)) != phase)
     return kept.withColumn("frame", (F.floor(F.col("frame") / 5) * 4 + F.col("frame") % 5 - (F.col("frame") % 5 > phase).cast("int")).cast("long"))
+
+
+def field_bob(frames: DataFrame, smooth: bool = True, size: tuple[int, int] = (8, 8)) -> DataFrame:
+    """Steadies alternate fields: even frames stay, odd ones move half a row by (a + 2b + c) / 4, or a quarter by (a + 3b) / 4."""
+    from framelake.plans.kernels import map_frames
+
+    def move(planes: Planes) -> Planes:
+        if smooth:
+            return {k: (shifted(p, 0, -1) + 2 * p + shifted(p, 0, 1) + 2) >> 2 for k, p in planes.items()}
+        return {k: (shifted(p, 0, -1) + 3 * p + 2) >> 2 for k, p in planes.items()}
+
+    f = frames.select("frame", "r", "g", "b")
+    return f.where(F.col("frame") % 2 == 0).unionByName(map_frames(f.where(F.col("frame") % 2 != 0), move, size))
+
+
+def noise_reduction(frames: DataFrame, threshold: int, **how) -> DataFrame:
+    """Capture noise: a pixel near the same one of the frame before becomes the mean of both."""
+    def run(planes: Planes, start: int, stop: int) -> Planes:
+        last = {k: p[start - 1 : stop - 1] for k, p in planes.items()}
+        now = {k: p[start:stop] for k, p in planes.items()}
+        near = sum(np.abs(now[k] - last[k]) for k in planes) <= threshold
+        return {k: np.where(near, (now[k] + last[k] + 1) >> 1, now[k]) for k in planes}
+
+    return over_time(frames, run, 1, 0, **how)

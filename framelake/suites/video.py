@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.catalog import register
 from framelake.operators import blend, point, spatial, temporal
+from framelake.plans import chain
 from framelake.plans.kernels import map_frames
 from framelake.sources.tables import SQL_PIXELS, frames, pixels
 
@@ -367,3 +368,41 @@ _temporal("f_deinterlace_fold", lambda f: map_frames(map_frames(f, temporal.unfo
 _temporal("f_deinterlace_ela", lambda f: map_frames(f, temporal.edge_line_average), None)
 _temporal("f_deinterlace_yadif", temporal.yadif, None)
 _temporal("f_ivtc", lambda f: temporal.inverse_telecine(f.select("frame", "r", "g", "b"), 2), f"WITH {SQL_PIXELS} SELECT frame // 5 * 4 + frame % 5 - CASE WHEN frame % 5 > 2 THEN 1 ELSE 0 END AS frame, x, y, r, g, b FROM px WHERE frame % 5 <> 2")
+_temporal(
+    "f_field_bob",
+    temporal.field_bob,
+    f"{_COLUMN} SELECT frame, x, y, "
+    + ", ".join(f"CASE WHEN frame % 2 = 0 THEN {_row('y', c)} ELSE ({_row('greatest(0, y - 1)', c)} + 2 * {_row('y', c)} + {_row('least(7, y + 1)', c)} + 2) >> 2 END AS {c}" for c in "rgb")
+    + " FROM t",
+)
+_DIFF = " + ".join(f"abs({_at(0, c)} - {_at(-1, c)})" for c in "rgb")
+_temporal("f_noise_reduction", lambda f: temporal.noise_reduction(f, 90), f"{_SERIES} SELECT f AS frame, x, y, {', '.join(f'CASE WHEN {_DIFF} <= 90 THEN ({_at(0, c)} + {_at(-1, c)} + 1) >> 1 ELSE {_at(0, c)} END AS {c}' for c in 'rgb')} FROM t")
+_spatial("f_luma_squish", spatial.luma_squish, f"WITH {SQL_PIXELS} SELECT frame, x, y, {', '.join(f'({c} * 219 + 127) // 255 + 16 AS {c}' for c in 'rgb')} FROM px")
+_spatial("f_vertical_squash", spatial.vertical_squash, f"WITH {SQL_PIXELS} SELECT frame, x, y // 2 AS y, {', '.join(f'CAST((sum({c}) + 1)::BIGINT >> 1 AS INT) AS {c}' for c in 'rgb')} FROM px GROUP BY frame, x, y // 2")
+_spatial("f_draw_text", spatial.draw_text("7:1", 1, 1, (255, 0, 128)), f"WITH {SQL_PIXELS}, lit(x, y) AS (VALUES (1, 1), (2, 1), (3, 1), (3, 2), (2, 3), (2, 4), (2, 5), (6, 2), (6, 4)) SELECT p.frame, p.x, p.y, {', '.join(f'CASE WHEN l.x IS NULL THEN p.{c} ELSE {k} END AS {c}' for c, k in zip('rgb', (255, 0, 128), strict=True))} FROM px p LEFT JOIN lit l ON l.x = p.x AND l.y = p.y")
+register("f_alias_format", lambda s, d: frames(s, d).select("frame", F.lit("ycbcr").alias("model"), "r", "g", "b").select("frame", "model", F.size("r").alias("n")), "SELECT vec_id AS frame, 'ycbcr' AS model, 64 AS n FROM embeddings")
+_temporal(
+    "f_interpolate",
+    lambda f: chain.interpolate(f, f.count(), 1.5),
+    f"WITH {SQL_PIXELS}, n AS (SELECT count(*) AS k FROM embeddings), m AS (SELECT i AS frame, CAST(floor((i + 0.5) / 1.5 * 256 + 0.5) - 128 AS BIGINT) AS place FROM n, range(0, CAST(floor((SELECT count(*) FROM embeddings) * 1.5 + 0.5) AS BIGINT)) t(i)), "
+    "u AS (SELECT frame, greatest(0, least(k - 1, place >> 8)) AS a, greatest(0, least(k - 1, (place >> 8) + 1)) AS b, place & 255 AS w FROM m, n) "
+    f"SELECT u.frame, p.x, p.y, {', '.join(f'CAST(p.{c} + (((q.{c} - p.{c}) * w + 128) >> 8) AS INT) AS {c}' for c in 'rgb')} FROM u JOIN px p ON p.frame = u.a JOIN px q ON q.frame = u.b AND q.x = p.x AND q.y = p.y",
+)
+
+
+def _chained(spark, sf_dir: str) -> DataFrame:
+    """A chain that needs a converter, acts on a range, and ends in a mean over time."""
+    f = frames(spark, sf_dir).select("frame", "r", "g", "b")
+    schema = chain.FrameSchema(8, 8, count=f.count())
+    invert = chain.Filter("invert", lambda p: {k: 255 - v for k, v in p.items()})
+    c = chain.Chain().add(chain.Filter("flip", spatial.flip(True))).add(invert, frames=(10, 20)).add(chain.mean_of(1, 1))
+    return pixels(c.run(chain.Stream(f, schema)).frames)
+
+
+_INV = ", ".join(f"CASE WHEN frame BETWEEN 10 AND 19 THEN 255 - {c} ELSE {c} END AS {c}" for c in "rgb")
+register(
+    "chain_of_filters",
+    _chained,
+    f"WITH {SQL_PIXELS}, e AS (SELECT frame, 7 - x AS x, y, {_INV} FROM px), n AS (SELECT max(frame) AS last FROM px) SELECT p.frame, p.x, p.y, {', '.join(f'CAST((p.{c} + a.{c} + b.{c} + 1) // 3 AS INT) AS {c}' for c in 'rgb')} "
+    "FROM e p, n JOIN e a ON true JOIN e b ON true WHERE a.frame = greatest(0, p.frame - 1) AND a.x = p.x AND a.y = p.y AND b.frame = least(n.last, p.frame + 1) AND b.x = p.x AND b.y = p.y",
+)

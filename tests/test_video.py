@@ -133,3 +133,11 @@ def test_telecine_counts(spark):
     frames = spark.range(10).selectExpr("id AS frame")
     kept = [r["frame"] for r in temporal.inverse_telecine(frames, 0).orderBy("frame").collect()]
     assert kept == list(range(8))
+
+
+def test_time_codes():
+    assert spatial.timecode(0, 25) == "00:00:00.00" and spatial.timecode(25 * 3661 + 7, 25) == "01:01:01.07"
+    mask = spatial.text_mask(spatial.timecode(12345, 29.97))
+    assert mask.shape == (5, 44) and mask.any() and not spatial.text_mask("  ").any()
+    out = spatial.draw_text("8", 6, 6, (1, 2, 3))(constant(77, h=8, w=8))
+    assert (out["g"][0, 6:, 6:] == [[2, 2], [2, 77]]).all() and (out["g"][0, :6] == 77).all()
