@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from framelake.llm import sketch
 from framelake.llm.components import components
 from framelake.llm.substring_dedup import CHUNK_BYTES, chunked
-from framelake.llm.textops import BASES, FOLD, U64, cut_words, doc_of, mix, runs_of, text_bytes, word_hashes
+from framelake.llm.textops import BASES, FOLD, U64, cut_words, doc_of, give_back, mix, runs_of, text_bytes, word_hashes
 from framelake.llm.workspace import extent, settle
 
 GROUP = 256  # nodes at most, about, that one task compares
@@ -43,6 +43,7 @@ NODE_SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 def shingle_sets(column: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending within a text, and the offsets of the texts."""
+    give_back()
     data, offs = text_bytes(column)
     words = cut_words(FOLD[data], offs)
     hashes = word_hashes(words)

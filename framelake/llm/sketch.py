@@ -21,7 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from framelake.llm.textops import U64, mix
+from framelake.llm.textops import U64, give_back, mix
 
 #: Offsets that make the rows' cells of one key independent.
 ROW_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
@@ -35,7 +35,7 @@ class SketchPlan(NamedTuple):
     range_bits: int  # the upper bits of a cell name its range
 
 
-def plan_sketch(keys: int, depth: int = 2, room: int = 4, range_cells: int = 3_000_000) -> SketchPlan:
+def plan_sketch(keys: int, depth: int = 2, room: int = 4, range_cells: int = 1_500_000) -> SketchPlan:
     """Width: at least `room` cells for each key expected; ranges of about `range_cells` touched cells."""
     bits = max(12, int(keys * room).bit_length())
     return SketchPlan(depth, min(bits, 60), min(max(0, int(keys // range_cells).bit_length()), bits - 8))
@@ -96,6 +96,7 @@ def send(chunk: int, keys: np.ndarray, counts: np.ndarray, plan: SketchPlan) ->
 
 def merge(table: pa.Table) -> pa.Table:
     """All chunks' rows of one slot to rows of ANSWERED: the level of each cell sent, in the order sent."""
+    give_back()
     pieces = [_unpack(x) for x in table.column("payload").to_pylist()]
     sizes = [len(c) for c, _ in pieces]
     _, inverse = np.unique(np.concatenate([c for c, _ in pieces]), return_inverse=True)

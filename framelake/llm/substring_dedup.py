@@ -25,11 +25,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from framelake.llm import sketch
-from framelake.llm.textops import U64, Words, cut_words, doc_of, join_words, runs_of, text_bytes, to_strings, word_hashes
+from framelake.llm.textops import U64, Words, cut_words, doc_of, give_back, join_words, runs_of, text_bytes, to_strings, word_hashes
 from framelake.llm.workspace import extent, fresh, partitions
 
 CHUNK_BYTES = 2_000_000
-RANGE_KEYS = 1_000_000
+RANGE_KEYS = 500_000
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_col: str, chunks: int) -> DataFrame:
@@ -58,6 +58,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     out_schema = StructType([*(StructField(f.name, StringType() if f.name == text_col else f.dataType, True) for f in fields), StructField(words_col, LongType()), StructField(removed_col, LongType())])
 
     def look(table: pa.Table) -> tuple[Words, np.ndarray, np.ndarray]:
+        give_back()
         words = cut_words(*text_bytes(table.column(text_col)))
         keys, at = runs_of(word_hashes(words), words.first, window)
         return words, keys, at
@@ -100,6 +101,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
         return pa.table({"slot": pa.array(slots, pa.int32()), "chunk": pa.array([chunk] * len(slots), pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
     def group_exactly(table: pa.Table) -> pa.Table:
+        give_back()
         first, second, twice = [], [], []
         for raw in table.column("payload").to_pylist():
             n = _entries(len(raw))

@@ -16,10 +16,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from framelake.llm.textops import U64, cut_words, text_bytes, word_hashes
+from framelake.llm.textops import U64, cut_words, give_back, text_bytes, word_hashes
 
 #: Words that a worker remembers at most; beyond, it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 500_000
 #: Text bytes that are looked at together; a longer document is looked at alone.
 SLICE_BYTES = 2_000_000
 #: Marks a word's end in ranks and a text's end of word; no plain word has it.
@@ -35,6 +35,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES):
     _, offs = text_bytes(column)
     lo = 0
     while lo < len(column):
+        give_back()
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
         yield lo, column.slice(lo, hi - lo)
         lo = hi
