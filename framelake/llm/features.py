@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.textops import BASES, FOLD, SPACES, U64, Words, doc_of, mix, text_bytes, word_hashes
+from framelake.llm.workspace import settle
 
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -86,5 +87,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, wanted: Colu
     labels and texts are left out, and of an id's several labels the largest counts.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(wanted).groupBy(F.col(id_col).alias("id_")).agg(F.max(label).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("id_"), "id_").limit(most)
+    # Written first: the choice then meets in a task, where a broadcast would gather `most` rows of every partition on the driver.
+    chosen = settle(chosen.orderBy(F.xxhash64("id_"), "id_").limit(most), "chosen")
     return docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id_").orderBy(F.xxhash64("id_"), "id_", "text").select("text", "y")
