@@ -5,9 +5,11 @@ how many pieces have each length: at most `capacity` numbers, whatever the
 corpus. On them the driver solves the configuration program (variables: how
 often to use each multiset of lengths that fits) by multiplicative weights: the
 weight of a length falls exponentially with the share of its demand already
-covered, and a knapsack dynamic program prices the best configuration. Uses are
-rounded down and limited by demand; what is left is packed by best fit into the
-same kind of configurations, in whole multiples.
+covered, and a knapsack dynamic program prices the best configuration of lengths
+that aren't covered yet, until all are. Uses are rounded down and limited by
+demand; what is left is packed by best fit into the same kind of configurations,
+in whole multiples. Where best fit of everything needs fewer sequences than the
+rounded program, it is the plan.
 
 The plan says, for each length and rank among equals, which sequence and place
 it gets. Ranks come from a window over (length, bucket), so that a length that a
@@ -16,6 +18,7 @@ third of all pieces have is still ranked in many tasks.
 
 from __future__ import annotations
 
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -110,36 +113,40 @@ def _fill(left: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int
     return found
 
 
-def _fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often to use each, rounded down, most used first: multiplicative weights on the covering program."""
+def _fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int | None = None) -> list[tuple[dict[int, int], float]]:
+    """Configurations and how often to use each, most used first: multiplicative weights on the covering program.
+
+    Ends when every length is covered, each just so far as is asked, or after so
+    many rounds. A round covers the rest of one length or uses its configuration,
+    more than half full, for 1 / STEPS of the sequences that the tokens fill: at
+    most 2 * STEPS rounds and one for each length.
+    """
     live = np.flatnonzero(demand)
     lengths, demand = lengths[live], demand[live]
     step_most = max(1.0, float((lengths * demand).sum()) / capacity / STEPS)
-    cover, uses = np.zeros(len(lengths)), {}
-    steep = 10 * np.log(max(2, len(lengths)))
-    for _ in range(rounds):
-        share = cover / demand
-        if share.min() >= 1:
+    left, uses = demand.astype(float), {}
+    steep = np.log(max(2, len(lengths)))
+    for _ in count() if rounds is None else range(rounds):
+        asked = np.flatnonzero(left)
+        if not len(asked):
             break
-        weights = np.where(share < 1, np.exp(-steep * (share - share.min())), 0) * lengths
-        found = _best_configuration(lengths, weights, capacity)
-        i, a = np.array(list(found)), np.array(list(found.values()))
-        step = min(step_most, float((demand[i] / a).min()))
-        cover[i] += step * a
-        name = tuple(sorted(found.items()))
+        share = 1 - left[asked] / demand[asked]
+        found = _best_configuration(lengths[asked], np.exp(-steep * (share - share.min())) * lengths[asked], capacity)
+        i, a = asked[list(found)], np.array(list(found.values()))
+        most = left[i] / a
+        step = min(step_most, float(most.min()))
+        left[i] = np.where(most <= step * (1 + 1e-9), 0, left[i] - step * a)
+        name = tuple(sorted(zip(live[i].tolist(), a.tolist(), strict=True)))
         uses[name] = uses.get(name, 0.0) + step
-    return [({int(live[i]): a for i, a in name}, int(x)) for name, x in sorted(uses.items(), key=lambda u: -u[1])]
+    return [(dict(name), x) for name, x in sorted(uses.items(), key=lambda u: -u[1])]
 
 
-def _rounded(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> list[tuple[dict[int, int], int]]:
-    """Configurations with their uses that cover the demand exactly."""
+def _rounded(lengths: np.ndarray, demand: np.ndarray, capacity: int, program: list[tuple[dict[int, int], float]]) -> list[tuple[dict[int, int], int]]:
+    """Configurations with their uses that cover the demand exactly: the program's rounded down, then best fit."""
     left = demand.copy()
     chosen: list[tuple[dict[int, int], int]] = []
-    if len(lengths) and lengths[-1] == capacity:  # full pieces have one configuration only
-        chosen.append(({len(lengths) - 1: 1}, int(left[-1])))
-        left[-1] = 0
-    for found, times in _fractional(lengths, left, capacity, rounds) if left.any() else ():
-        times = min(times, *(int(left[i]) // a for i, a in found.items()))
+    for found, times in program:
+        times = min(int(times), *(int(left[i]) // a for i, a in found.items()))
         if times:
             chosen.append((found, times))
             for i, a in found.items():
@@ -153,11 +160,13 @@ def _rounded(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int
     return chosen
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = 2048, rounds: int = 800) -> Plan:
-    """The plan for so many pieces of each length (1 to capacity)."""
+def plan_sequences(histogram: dict[int, int], capacity: int = 2048, rounds: int | None = None) -> Plan:
+    """The plan for so many pieces of each length (1 to capacity); the program ends after so many rounds, or when it covers all."""
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(x)] for x in lengths], np.int64)
-    chosen = _rounded(lengths, demand, capacity, rounds)
+    short = np.where(lengths < capacity, demand, 0)  # full pieces have one configuration only, which best fit gives them
+    program = _fractional(lengths, short, capacity, rounds) if short.any() else []
+    chosen = min((_rounded(lengths, demand, capacity, x) for x in (program, [])), key=lambda plan: sum(times for _, times in plan))
     rank, sequence = np.zeros(len(lengths), np.int64), 0
     rows = []
     for found, times in chosen:

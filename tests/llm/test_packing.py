@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from framelake.llm.packing import cut_pieces, pack, plan_sequences
+from framelake.llm.packing import _fractional, _rounded, cut_pieces, pack, plan_sequences
 from framelake.llm.queries import tokenizer_path
 from framelake.llm.wordpiece import encode
 from tests.llm.corpus import documents
@@ -76,6 +76,22 @@ def test_plan_places_every_piece_once(histogram):
     assert all(0 <= k < 64 for _, k in used)
 
 
+def test_a_wide_histogram_is_covered_and_no_worse_than_best_fit():
+    r = np.random.default_rng(5)
+    histogram = {int(x): int(n) for x, n in zip(r.permutation(np.arange(1, 513))[:420], np.minimum(500, 1 + 3 * r.pareto(1.0, 420)), strict=True)}
+    histogram[175] = sum(n for x, n in histogram.items() if x != 175) // 2  # a third of all pieces, two to a sequence
+    lengths = np.array(sorted(histogram))
+    demand = np.array([histogram[int(x)] for x in lengths])
+    assert 3 * histogram[175] >= demand.sum() - 3 and (demand == 1).any() and (lengths * demand).sum() > 1_000 * 512
+    short = np.where(lengths < 512, demand, 0)
+    covered = np.zeros(len(lengths))
+    for found, x in _fractional(lengths, short, 512):
+        for i, a in found.items():
+            covered[i] += x * a
+    assert np.allclose(covered, short)
+    assert plan_sequences(histogram, 512).sequences <= sum(n for _, n in _rounded(lengths, demand, 512, []))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=40) | st.text(alphabet="abAB 'stéÉñß.,!<|>endoftx12²½Σσ́\x85\xa0\n", max_size=60), max_size=8))
 def test_fast_encoding_is_the_tokenizer_s(texts):
