@@ -1,18 +1,20 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
-Each of several curves projects the vectors by its own random rotation to a few
-coordinates, shifts these by random amounts and orders all vectors by Hilbert
+Equal vectors are one node, with the k + 1 smallest of their ids; nodes become
+ids again after scoring, so that copies take one place however many they are.
+Each of several curves projects the nodes by its own random rotation to a few
+coordinates, shifts these by random amounts and orders all nodes by Hilbert
 key. Spark range-partitions the orders; runs of equal length become blocks. A
 query takes the blocks within its window on every curve as candidates; each
-block scores its queries exactly, in double precision, and keeps the best k, and
-the lists of all blocks and curves merge.
+block scores its queries exactly, in double precision, and keeps the best, and
+the lists of all blocks and curves merge. A query's own node is always among them.
 
 Inner products become angles by one more coordinate, sqrt(M^2 - |x|^2) with the
 largest norm M, which is 0 for queries; for equal norms it vanishes.
 
 How much must be looked at depends on the vectors. Isotropic ones in 64
 dimensions have no near neighbours worth the name (the twentieth of fifty
-thousand is at cosine 0.4), so that the default window, a share of all rows on
+thousand is at cosine 0.4), so that the default window, a share of all nodes on
 each side, and number of curves look at about half of all rows for a recall of
 0.9. Clustered vectors need far less; window_share and curves are parameters.
 """
@@ -51,7 +53,8 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = 20, window_share: float = 0.02, seed: int = 17) -> DataFrame:
     """(query_id, rank, id, score): the k candidates of largest inner product found for each row where is_query holds.
 
-    Candidates are all rows but the query's own id. Ties go to the smaller id.
+    Candidates are all rows but the query's own id. Ties go to the smaller id,
+    among any number of equal vectors too.
     Vectors that are null or zero or have null or non-finite components take no
     part, nor do those of another length than the longest, nor rows without id.
     Rows that repeat an id with the same vector count once; with several vectors,
@@ -62,10 +65,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     spark = vectors.sparkSession
     usable = settle(_usable(vectors, id_col, vector_col).distinct(), "vectors")
     asked = vectors.where(is_query).select(F.col(id_col).alias("id")).distinct()
-    facts = usable.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
-    n, dim, largest = facts["n"], facts["dim"] or 1, facts["m"] or 1.0
+    facts = usable.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
+    dim, largest = facts["dim"] or 1, facts["m"] or 1.0
     usable = usable.where(F.size("v") == dim)
-    queries = usable.join(asked, "id", "left_semi")
+    # Node numbers follow the nodes' smallest ids, so that ties go to smaller numbers.
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    ids = usable.withColumn("copy", copy).where(F.col("copy") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    nodes = settle(ids.orderBy(F.element_at("ids", 1), "v").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    asking = settle(usable.join(asked, "id", "left_semi").join(nodes.select("v", "node"), "v").select("id", "node"), "asking")
+    queries = nodes.join(asking.select("node").distinct(), "node", "left_semi")
+    n = nodes.count()
+    # Of so many nodes of an answer, ids that have several vectors and the query's own leave k ids.
+    keep = (k + 1) * (usable.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1)
     window = max(LEAST_WINDOW, int(np.ceil(n * window_share)))
     block = min(window, BLOCK_ROWS)
     reach = -(-window // block)
@@ -86,13 +97,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 for c, (turn, shift) in enumerate(zip(turns, shifts, strict=True)):
                     unit = 1 / (1 + np.exp(-1.7 * np.sqrt(dim) * (x @ turn)))
                     points = ((unit + shift) / 2 * (1 << BITS)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert_keys(points, BITS).astype(np.int64)), b.column("id"), pa.array(np.full(len(x), asks))], names=["curve", "key", "id", "asks"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert_keys(points, BITS).astype(np.int64)), b.column("node"), pa.array(np.full(len(x), asks))], names=["curve", "key", "node", "asks"])
 
         return run
 
-    kind = vectors.schema[id_col].dataType.simpleString()
-    order_schema = f"curve int, key long, id {kind}, asks boolean"
-    order = usable.mapInArrow(keyed(False), order_schema).unionByName(queries.mapInArrow(keyed(True), order_schema))
+    order_schema = "curve int, key long, node long, asks boolean"
+    order = nodes.mapInArrow(keyed(False), order_schema).unionByName(queries.mapInArrow(keyed(True), order_schema))
 
     def number(batches):
         at = 0
@@ -101,39 +111,49 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             at += b.num_rows
             yield b.append_column("place", pa.array(place))
 
-    ranged = order.repartitionByRange(partitions(spark), "curve", "key", "id").withColumn("slice", F.spark_partition_id()).sortWithinPartitions("curve", "key", "id")
+    ranged = order.repartitionByRange(partitions(spark), "curve", "key", "node").withColumn("slice", F.spark_partition_id()).sortWithinPartitions("curve", "key", "node")
     placed = settle(ranged.mapInArrow(number, T.StructType([*ranged.schema, T.StructField("place", T.LongType())])), "curves")
     # Places run on from slice to slice: one row per slice, as many as there are shuffle partitions.
     sizes = placed.groupBy("slice").agg(F.count(F.lit(1)).alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = placed.join(F.broadcast(sizes.select("slice", before.alias("before"))), "slice").select("curve", "id", "asks", F.floor((F.col("before") + F.col("place")) / block).cast("long").alias("block"))
+    blocks = placed.join(F.broadcast(sizes.select("slice", before.alias("before"))), "slice").select("curve", "node", "asks", F.floor((F.col("before") + F.col("place")) / block).cast("long").alias("block"))
     wanted = F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach))
-    roles = blocks.where("not asks").select("curve", "block", "id", "asks").unionByName(blocks.where("asks").select("curve", wanted.alias("block"), "id", "asks"))
+    roles = blocks.where("not asks").select("curve", "block", "node", "asks").unionByName(blocks.where("asks").select("curve", wanted.alias("block"), "node", "asks"))
 
     def score(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
-        ids, v = np.asarray(table.column("id").to_pylist(), dtype=object if kind == "string" else np.int64), _matrix(table.column("v"))
-        by_id = np.argsort(ids[~asks], kind="stable")
-        member_ids, members = ids[~asks][by_id], v[~asks][by_id]
+        numbers, v = table.column("node").to_numpy(), _matrix(table.column("v"))
+        by_number = np.argsort(numbers[~asks])
+        member_numbers, members = numbers[~asks][by_number], v[~asks][by_number]
         out = [[], [], []]
         for lo in range(0, int(asks.sum()) if len(members) else 0, 256):
-            q_ids, q = ids[asks][lo : lo + 256], v[asks][lo : lo + 256]
+            q_numbers, q = numbers[asks][lo : lo + 256], v[asks][lo : lo + 256]
             s = np.einsum("ij,kj->ik", q, members, optimize=True)
-            s[q_ids[:, None] == member_ids[None, :]] = -np.inf
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k] if s.shape[1] <= 4 * k else _best(s, k)
-            rows = np.repeat(np.arange(len(q_ids)), best.shape[1])
-            found = s[rows, best.ravel()]
-            real = found > -np.inf
-            out[0].append(q_ids[rows][real])
-            out[1].append(member_ids[best.ravel()][real])
-            out[2].append(found[real])
+            best = np.argsort(-s, axis=1, kind="stable")[:, :keep] if s.shape[1] <= 4 * keep else _best(s, keep)
+            rows = np.repeat(np.arange(len(q)), best.shape[1])
+            out[0].append(q_numbers[rows])
+            out[1].append(member_numbers[best.ravel()])
+            out[2].append(s[rows, best.ravel()])
         parts = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table({"query_id": pa.array(parts[0].tolist(), table.schema.field("id").type), "id": pa.array(parts[1].tolist(), table.schema.field("id").type), "score": pa.array(parts[2], pa.float64())})
-
-    found = roles.join(usable, "id").groupBy("curve", "block").applyInArrow(score, f"query_id {kind}, id {kind}, score double")
-    merged = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        return pa.table({"node": pa.array(parts[0], pa.int64()), "near": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
+
+    found = roles.join(nodes.select("node", "v"), "node").groupBy("curve", "block").applyInArrow(score, "node long, near long, score double")
+    own = queries.select("node", F.col("node").alias("near"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("score"))
+    merged = found.unionByName(own).groupBy("node", "near").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "near"))
+    best = merged.withColumn("place", place).where(F.col("place") <= keep)
+    expanded = best.join(nodes.select(F.col("node").alias("near"), "ids"), "near").select("node", F.explode("ids").alias("id"), "score")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "id"))
+    answers = expanded.groupBy("node", "id").agg(F.max("score").alias("score")).withColumn("place", place).where(F.col("place") <= k + 1)
+    # One row for each node, so that the many queries of a group of copies aren't ranked in one task.
+    lists = answers.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("list"))
+    others = F.slice(F.filter("list", lambda x: x["id"] != F.col("query_id")), 1, k)
+    ranked = asking.withColumnRenamed("id", "query_id").join(lists, "node").select("query_id", "node", F.posexplode(others).alias("at", "x"))
+    if keep == k + 1:  # no id has several vectors
+        return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias(id_col), "x.score")
+    merged = ranked.groupBy("query_id", F.col("x.id").alias("id")).agg(F.max("x.score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return merged.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+    return merged.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def _best(s: np.ndarray, k: int) -> np.ndarray:

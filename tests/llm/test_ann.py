@@ -55,6 +55,36 @@ def test_recall(spark, monkeypatch, lengths):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("lengths", [False, True])
+def test_a_third_are_copies(spark, monkeypatch, lengths):
+    monkeypatch.setattr(ann, "LEAST_WINDOW", 60)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v = v.round(3)  # sums of equal vectors are equal
+    if lengths:
+        v *= rng.uniform(0.5, 2, size=(3000, 1))
+    v[rng.permutation(3000)[:1000]] = v[0]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    found = nearest(spark.createDataFrame([(i, x, None) for i, x in rows], SCHEMA), F.col("vec_id") % 20 == 0)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute(rows, 20)
+    copies = {i for i in want if (v[i] == v[0]).all()}
+    assert len(copies) > 30 and all(got[i] == want[i] for i in copies)
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 40, rng.normal(size=4).tolist()) for i in range(100)] + [(7, [9.0, 9.0, 9.0, 9.0])] * 2
+    found = nearest(spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA), F.col("vec_id") == 0, k=20).collect()
+    v = {i: [np.array(x, np.float32).astype(float) for j, x in rows if j == i] for i in range(40)}
+    want = sorted((-max(float(a @ b) for a in v[0] for b in v[i]), i) for i in range(1, 40))[:20]
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == [i for _, i in want]
+
+
 def test_hilbert_walks_to_neighbours():
     for d, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * d), -1).reshape(-1, d)
