@@ -21,7 +21,7 @@ the join is a shuffled one that Spark can split where a hash is frequent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm import native
@@ -40,33 +40,47 @@ def _sketches(items: DataFrame, percent: int, n: int) -> DataFrame:
     return low.join(limits, "size_class").select("item", "size_class", F.explode("low").alias("h"), "limit")
 
 
+def _own(id_: Column, text: Column) -> Column:
+    """What tells rows without an id apart: their text. Null for others."""
+    return F.when(id_.isNull(), F.sha2(text.cast("binary"), 256))
+
+
+def _pairs(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, n: int, percent: int) -> DataFrame:
+    """(id, own, item, n_item, n_shared) for each row of docs and each different text of an item that it holds."""
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("own", _own(F.col("id"), F.col("text")))
+    texts = settle(items.select(F.col(item_col).alias("name"), F.col(item_text_col).alias("text")).distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    sketches = settle(_sketches(texts, percent, n), "sketches")
+    counted = sketches.agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("top")).first()
+    top = counted["top"] if counted["n"] else -(1 << 63)
+    small = F.broadcast if counted["n"] <= BROADCAST_ROWS else lambda df: df
+    hashes = d.select("id", "own", native.words(F.col("text")).alias("w")).select("id", "own", native.shingle_hashes("w", n).alias("hs"))
+    low = hashes.select("id", "own", F.explode(F.filter("hs", lambda h: h <= F.lit(top))).alias("h"))
+    met = low.join(small(sketches), "h").where(F.col("h") <= F.col("limit")).select("id", "own", "item").distinct()
+    item_sets = texts.select("item", "name", native.words(F.col("text")).alias("w")).select("item", "name", F.array_distinct(native.shingles("w", n)).alias("s"))
+    candidates = met.join(item_sets, "item").groupBy(F.col("id").alias("c_id"), F.col("own").alias("c_own")).agg(F.collect_list(F.struct("name", "s")).alias("items"))
+    same = F.col("id").eqNullSafe(F.col("c_id")) & F.col("own").eqNullSafe(F.col("c_own"))
+    held = d.join(candidates, same).select("id", "own", "items", native.words(F.col("text")).alias("w")).select("id", "own", "items", native.shingles("w", n).alias("s"))
+    pairs = held.select("id", "own", "s", F.explode("items").alias("i")).select("id", "own", F.col("i.name").alias("item"), F.size("i.s").cast("long").alias("n_item"), F.size(F.array_intersect("i.s", "s")).cast("long").alias("n_shared"))
+    return pairs.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+
+
 def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Pairs (id, item id, n_item, n_shared): documents that hold at least percent % of an item's distinct n-word shingles.
 
     A-Z count as a-z; a text with fewer than n words is one shingle. Null and
     empty texts have no shingles and are in no pair. Rows that repeat give their
     pair once; rows of one id with different texts are one document that holds
-    what any of its rows holds enough of (the largest n_shared counts); an item
-    id with several texts has the greatest of them.
+    what any of its rows holds enough of (the largest n_shared counts). Each text
+    of an item id is searched; a pair's figures are those of the text of which
+    most is shared. Null ids, of documents or items, are searched and reported
+    like others.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    t = items.groupBy(F.col(item_col).alias("item")).agg(F.max(item_text_col).alias("text"))
-    sketches = settle(_sketches(t, percent, n), "sketches")
-    counted = sketches.agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("top")).first()
-    top = counted["top"] if counted["n"] else -(1 << 63)
-    small = F.broadcast if counted["n"] <= BROADCAST_ROWS else lambda df: df
-    hashes = d.select("id", native.words(F.col("text")).alias("w")).select("id", native.shingle_hashes("w", n).alias("hs"))
-    low = hashes.select("id", F.explode(F.filter("hs", lambda h: h <= F.lit(top))).alias("h"))
-    met = low.join(small(sketches), "h").where(F.col("h") <= F.col("limit")).select("id", "item").distinct()
-    item_sets = t.select("item", native.words(F.col("text")).alias("w")).select("item", F.array_distinct(native.shingles("w", n)).alias("s"))
-    candidates = met.join(item_sets, "item").groupBy("id").agg(F.collect_list(F.struct("item", "s")).alias("items"))
-    held = d.join(candidates, "id").select("id", "items", native.words(F.col("text")).alias("w")).select("id", "items", native.shingles("w", n).alias("s"))
-    pairs = held.select("id", "s", F.explode("items").alias("i")).select("id", F.col("i.item").alias("item"), F.size("i.s").cast("long").alias("n_item"), F.size(F.array_intersect("i.s", "s")).cast("long").alias("n_shared"))
-    kept = pairs.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
-    return kept.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows that hold an item; all else, rows with null ids or texts too, stays as it is."""
-    found = find_contaminated(docs, items, id_col, text_col, **how).select(id_col).distinct()
-    return docs.join(found, id_col, "left_anti")
+    kept = _pairs(docs, items, id_col, text_col, item_col, item_text_col, n, percent)
+    most = kept.groupBy("id", "item").agg(F.max(F.struct("n_shared", "n_item")).alias("most"))
+    return most.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "most.n_item", "most.n_shared")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the documents that hold an item; all else, rows with null texts too, stays as it is. Rows without an id go by their own text."""
+    found = _pairs(docs, items, id_col, text_col, item_col, item_text_col, n, percent).select(F.col("id").alias("found_id_"), F.col("own").alias("found_own_")).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("found_id_")) & _own(F.col(id_col), F.col(text_col)).eqNullSafe(F.col("found_own_")), "left_anti")

@@ -35,6 +35,17 @@ def test_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _ in docs if d not in {w[0] for w in want})
 
 
+def test_items_numbered_alike_and_rows_without_ids(spark):
+    a, b, c, d = (prose(800 + i, 20 + i, 200) for i in range(4))
+    items = spark.createDataFrame([(1, a), (1, b), (1, b), (None, c), (None, d)], "item_id long, text string")
+    rows = [(10, f"x {a} y"), (11, f"x {b} y"), (12, c), (None, f"z {d}"), (None, "clean text of enough words here"), (13, "clean"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_item"], r["n_shared"]) for r in find_contaminated(docs, items).collect()}
+    assert found == {(10, 1): (16, 16), (11, 1): (17, 17), (12, None): (18, 18), (None, None): (19, 19)}
+    kept = drop_contaminated(docs, items)
+    assert kept.columns == ["doc_id", "text"] and {tuple(r) for r in kept.collect()} == set(rows[4:])
+
+
 def test_no_python_in_the_plan(spark):
     docs, items = tables(spark)
     found = find_contaminated(spark.createDataFrame([(1, "a")], "doc_id long, text string").selectExpr("doc_id", "text"), spark.range(1).selectExpr("id AS item_id", "'x' AS text"))
