@@ -1,8 +1,11 @@
 """Connected components of an edge table, by label propagation with pointer jumping.
 
-Every round is two joins and a map-side combined minimum; labels are written to
-the shared folder between rounds. Nothing is gathered on the driver but the
-number of labels that changed.
+Every round is two joins on nodes, a map-side combined minimum and a look-up of
+the labels in use; tables are written to the shared folder between rounds. Only
+labels that moved are looked up, and that few are broadcast (counted first), so
+that the many nodes of a giant component never meet in one task. Beyond the bound
+the look-up is a shuffled join, which adaptive execution splits where a label is
+frequent. Nothing is gathered on the driver but the numbers of labels that changed.
 """
 
 from __future__ import annotations
@@ -12,16 +15,31 @@ from pyspark.sql import functions as F
 
 from framelake.llm.workspace import settle
 
+#: Rows (about 60 bytes each) up to which a counted table is broadcast.
+BROADCAST_ROWS = 200_000
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label) for every node of an edge: the least node that it reaches. Loops, repeats and an empty table do no harm."""
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", values: DataFrame | None = None) -> DataFrame:
+    """(node, label, value) for every node of an edge: the node of least value that it reaches and that value.
+
+    values is (node, value); nulls and nodes without a row come last, ties go by
+    node. Without it, a node's value is the node itself. Loops, repeats and an
+    empty table do no harm.
+    """
     both = settle(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges")
-    labels = settle(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    nodes = both.select(F.col("x").alias("node")).distinct()
+    valued = nodes.withColumn("value", F.col("node")) if values is None else nodes.join(values, "node", "left")
+    labels = settle(valued.select("node", F.struct(F.col("value").isNull().alias("none"), "value", "node").alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, F.col("node") == F.col("x"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        far = labels.select(F.col("node").alias("p"), F.col("label").alias("far"))
-        jumped = settle(hooked.join(far, F.col("label") == F.col("p"), "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        labels = jumped.select("node", "label")
-        if not jumped.where(F.col("old") != F.col("label")).limit(1).count():
-            return labels
+        hooked = labels.join(near, F.col("node") == F.col("x")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        hooked = settle(hooked, "hooked")
+        used = hooked.select(F.col("label.node").alias("p")).distinct()
+        moved = settle(used.join(hooked.select(F.col("node").alias("p"), F.col("label").alias("far")), "p").where("far.node <> p"), "moved")
+        n = moved.count()
+        if n:
+            jump = F.broadcast(moved) if n <= BROADCAST_ROWS else moved
+            hooked = settle(hooked.join(jump, F.col("label.node") == F.col("p"), "left").select("node", "old", F.coalesce("far", "label").alias("label")), "labels")
+        labels = hooked.select("node", "label")
+        if not hooked.where("old.node <> label.node").limit(1).count():
+            return labels.select("node", F.col("label.node").alias("label"), F.col("label.value").alias("value"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.textops import BASES, FOLD, SPACES, U64, Words, doc_of, mix, text_bytes, word_hashes
+from framelake.llm.textops import FIXED, FOLD, SPACES, U64, Words, doc_of, mix, text_bytes, word_hashes
 from framelake.llm.workspace import settle
 
 _CLASS = np.full(256, 2, np.uint8)
@@ -53,10 +53,10 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
 def ngram_indicators(column: pa.Array, bits: int) -> Rows:
     """Distinct buckets of each text's token unigrams and bigrams, ascending."""
     words = cut_tokens(column)
-    h = word_hashes(words)
+    h = mix(word_hashes(words, FIXED.word))
     doc = doc_of(np.arange(len(h)), words.first)
     pair = np.flatnonzero(doc[1:] == doc[:-1])
-    keys = np.concatenate((doc << bits | _bucket(h, bits), doc[pair] << bits | _bucket(mix(h[pair] * U64(BASES[1]) + h[pair + 1]), bits)))
+    keys = np.concatenate((doc << bits | _bucket(h, bits), doc[pair] << bits | _bucket(mix(h[pair] * U64(FIXED.run) + h[pair + 1]), bits)))
     keys = np.unique(keys)
     return Rows((keys & (1 << bits) - 1).astype(np.uint32), np.searchsorted(keys, np.arange(len(words.first)) << bits))
 
@@ -68,13 +68,13 @@ PREFIXES = (4, 5, 6, 7, 8)
 def word_parts(column: pa.Array, bits: int) -> tuple[list[np.ndarray], Words]:
     """For whole words and for each prefix length, the bucket of every token, -1 where a token isn't longer than the prefix."""
     words = cut_tokens(column)
-    out = [_bucket(word_hashes(words), bits)]
+    out = [_bucket(mix(word_hashes(words, FIXED.word)), bits)]
     for size in PREFIXES:
         bucket = np.full(len(words.starts), -1, np.int64)
         long = np.flatnonzero(words.ends - words.starts > size)
         code = np.zeros(len(long), U64)
         for i in range(size):
-            code = code * U64(BASES[0]) + words.data[words.starts[long] + i].astype(U64) + U64(1)
+            code = code * U64(FIXED.word) + words.data[words.starts[long] + i].astype(U64) + U64(1)
         bucket[long] = _bucket(mix(code ^ U64(size)), bits)
         out.append(bucket)
     return out, words
@@ -89,4 +89,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, wanted: Colu
     chosen = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(wanted).groupBy(F.col(id_col).alias("id_")).agg(F.max(label).cast("int").alias("y"))
     # Written first: the choice then meets in a task, where a broadcast would gather `most` rows of every partition on the driver.
     chosen = settle(chosen.orderBy(F.xxhash64("id_"), "id_").limit(most), "chosen")
-    return docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id_").orderBy(F.xxhash64("id_"), "id_", "text").select("text", "y")
+    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "id_")
+    # The order goes by hashes: a sort by texts would sample them, whole, on the driver.
+    return rows.orderBy(F.xxhash64("id_"), "id_", F.xxhash64("text")).select("text", "y")

@@ -29,16 +29,38 @@ SENT = "slot int, chunk long, payload binary"
 ANSWERED = "chunk long, slot int, payload binary"
 
 
+#: Input bytes up to which chunks and ranges have their least size.
+SCALE_BYTES = 500_000_000
+#: A range's counts stop here.
+MOST = (1 << 16) - 1
+
+
 class SketchPlan(NamedTuple):
     depth: int
-    bits: int  # of a cell
-    range_bits: int  # the upper bits of a cell name its range
+    ranges: int
+    width: int  # cells of a range
+
+
+def scale_of(input_bytes: int, executor_bytes: int) -> int:
+    """How many times their least size chunks and ranges have.
 
+    A chunk sends one message to each range, so with sizes that stay, messages
+    would grow with the square of the input. Both sizes grow with its root, and
+    messages with the input, until a worker's memory (about 35 MB for each unit)
+    is at its bound; at 32, a message at 100 TB still carries thirty cells.
+    """
+    return int(max(1, min(32, executor_bytes // 200_000_000, (input_bytes / SCALE_BYTES) ** 0.5)))
 
-def plan_sketch(keys: int, depth: int = 2, room: int = 4, range_cells: int = 1_500_000) -> SketchPlan:
-    """Width: at least `room` cells for each key expected; ranges of about `range_cells` touched cells."""
-    bits = max(12, int(keys * room).bit_length())
-    return SketchPlan(depth, min(bits, 60), min(max(0, int(keys // range_cells).bit_length()), bits - 8))
+
+def plan_sketch(keys: int, depth: int = 2, scale: int = 1, room: int = 5, range_keys: int = 1_500_000) -> SketchPlan:
+    """Width: `room` cells for each key expected, in ranges of about range_keys * scale keys."""
+    ranges = max(1, -(-keys // (range_keys * scale)))
+    return SketchPlan(depth, ranges, min(max(1 << 12, room * -(-keys // ranges)), 1 << 31))
+
+
+def messages(plan: SketchPlan, chunks: int) -> int:
+    """How many rows of SENT there are at most."""
+    return plan.depth * plan.ranges * chunks
 
 
 class _Cells(NamedTuple):
@@ -49,34 +71,35 @@ class _Cells(NamedTuple):
 
 
 def _cells(keys: np.ndarray, plan: SketchPlan, row: int) -> _Cells:
-    cell = mix(keys ^ U64(ROW_SEEDS[row])) >> U64(64 - plan.bits)
+    h = mix(keys ^ U64(ROW_SEEDS[row]))
+    # The upper half names the range, the lower half the place in it.
+    cell = (((h >> U64(32)) * U64(plan.ranges)) >> U64(32)) * U64(plan.width) + (((h & U64(0xFFFFFFFF)) * U64(plan.width)) >> U64(32))
     order = np.argsort(cell, kind="stable")
     cell = cell[order]
     new = np.ones(len(cell), bool)
     new[1:] = cell[1:] != cell[:-1]
     head = np.flatnonzero(new)
     cells = cell[head]
-    edges = np.searchsorted(cells, np.arange((1 << plan.range_bits) + 1).astype(U64) << U64(plan.bits - plan.range_bits))
-    return _Cells(order, head, cells, edges)
+    return _Cells(order, head, cells, np.searchsorted(cells, np.arange(plan.ranges + 1).astype(U64) * U64(plan.width)))
 
 
 def _pack(cells: np.ndarray, counts: np.ndarray) -> bytes:
-    gaps = np.diff(cells, prepend=U64(0))
-    kind = np.uint16 if not len(gaps) or gaps[1:].max(initial=0) < 1 << 16 else np.uint64
+    """A message: cells as places in their range, ascending, as differences."""
+    gaps = np.diff(cells)
+    kind = np.uint16 if gaps.max(initial=0) < 1 << 16 else np.uint32
     more = np.flatnonzero(counts > 1).astype(np.uint32)
-    head = np.array([len(cells), len(more), np.dtype(kind).itemsize, int(cells[0])], np.uint64)
-    return head.tobytes() + gaps[1:].astype(kind).tobytes() + more.tobytes() + np.minimum(counts[more], 255).astype(np.uint8).tobytes()
+    head = np.array([len(cells), len(more), np.dtype(kind).itemsize, int(cells[0])], np.uint32)
+    return head.tobytes() + gaps.astype(kind).tobytes() + more.tobytes() + np.minimum(counts[more], 255).astype(np.uint8).tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m, size, start = (int(x) for x in np.frombuffer(raw, np.uint64, 4))
-    gaps = np.frombuffer(raw, np.uint16 if size == 2 else np.uint64, n - 1, 32)
-    cells = np.empty(n, U64)
+    n, m, size, start = (int(x) for x in np.frombuffer(raw, np.uint32, 4))
+    cells = np.empty(n, np.int64)
     cells[0] = start
-    cells[1:] = gaps
+    cells[1:] = np.frombuffer(raw, np.uint16 if size == 2 else np.uint32, n - 1, 16)
     np.cumsum(cells, out=cells)
     counts = np.ones(n, np.int64)
-    at = 32 + size * (n - 1)
+    at = 16 + size * (n - 1)
     counts[np.frombuffer(raw, np.uint32, m, at)] = np.frombuffer(raw, np.uint8, m, at + 4 * m)
     return cells, counts
 
@@ -89,21 +112,26 @@ def send(chunk: int, keys: np.ndarray, counts: np.ndarray, plan: SketchPlan) ->
         sums = np.add.reduceat(counts[c.order], c.head)
         for r in np.flatnonzero(np.diff(c.edges)):
             lo, hi = c.edges[r], c.edges[r + 1]
-            slots.append((row << plan.range_bits) + int(r))
-            payloads.append(_pack(c.cells[lo:hi], sums[lo:hi]))
+            slots.append(row * plan.ranges + int(r))
+            payloads.append(_pack(c.cells[lo:hi] - U64(int(r) * plan.width), sums[lo:hi]))
     return pa.table({"slot": pa.array(slots, pa.int32()), "chunk": pa.array([chunk] * len(slots), pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
 
-def merge(table: pa.Table) -> pa.Table:
-    """All chunks' rows of one slot to rows of ANSWERED: the level of each cell sent, in the order sent."""
+def merge(table: pa.Table, width: int) -> pa.Table:
+    """All chunks' rows of one slot to rows of ANSWERED: the level of each cell sent, in the order sent.
+
+    The range's counts are one array of two bytes a cell; messages are read one
+    after another, so memory doesn't follow their number.
+    """
     give_back()
-    pieces = [_unpack(x) for x in table.column("payload").to_pylist()]
-    sizes = [len(c) for c, _ in pieces]
-    _, inverse = np.unique(np.concatenate([c for c, _ in pieces]), return_inverse=True)
-    sums = np.bincount(inverse, weights=np.concatenate([k for _, k in pieces])).astype(np.int64)
-    levels = np.frexp(np.minimum(sums, 1 << 40).astype(np.float64))[1].astype(np.uint8)[inverse]
-    payloads = [zlib.compress(x.tobytes(), 1) for x in np.split(levels, np.cumsum(sizes)[:-1])]
-    return pa.table({"chunk": table.column("chunk"), "slot": table.column("slot"), "payload": pa.array(payloads, pa.binary())})
+    total = np.zeros(width, np.uint16)
+    payloads = table.column("payload")
+    for raw in payloads:
+        cells, counts = _unpack(raw.as_py())  # distinct, so each is added to once
+        total[cells] = np.minimum(total[cells] + counts, MOST)
+    level_of = np.frexp(np.arange(MOST + 1, dtype=np.float32))[1].astype(np.uint8)
+    answers = [zlib.compress(level_of[total[_unpack(raw.as_py())[0]]].tobytes(), 1) for raw in payloads]
+    return pa.table({"chunk": table.column("chunk"), "slot": table.column("slot"), "payload": pa.array(answers, pa.binary())})
 
 
 def levels(keys: np.ndarray, answers: dict[int, bytes], plan: SketchPlan) -> np.ndarray:
@@ -111,7 +139,7 @@ def levels(keys: np.ndarray, answers: dict[int, bytes], plan: SketchPlan) -> np.
     out = np.full(len(keys), 255, np.uint8)
     for row in range(plan.depth if len(keys) else 0):
         c = _cells(keys, plan, row)
-        parts = [np.frombuffer(zlib.decompress(answers[(row << plan.range_bits) + int(r)]), np.uint8) for r in np.flatnonzero(np.diff(c.edges))]
+        parts = [np.frombuffer(zlib.decompress(answers[row * plan.ranges + int(r)]), np.uint8) for r in np.flatnonzero(np.diff(c.edges))]
         per_cell = np.concatenate(parts)
         per_key = np.empty(len(keys), np.uint8)
         per_key[c.order] = np.repeat(per_cell, np.diff(c.head, append=len(keys)))

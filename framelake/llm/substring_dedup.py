@@ -1,22 +1,29 @@
 """Substring deduplication: count-min prefilter, then exact grouping of what it leaves.
 
-Every document belongs to a chunk of about two megabytes, named by a hash of its
-id and text. Chunks are shuffled once; Spark reuses that exchange in all passes:
+Every document belongs to a chunk of some megabytes, named by a hash of its id
+and text. Chunks are shuffled once; Spark reuses that exchange in all passes:
 
 1. Each chunk hashes its windows and sends their cells to the sketch
    (`framelake.llm.sketch`); the merged sketch answers with levels.
 2. Windows whose level says "perhaps twice" go, once per chunk with their
-   128-bit fingerprint, to tasks that own a range of fingerprints, which group
-   them exactly and answer with a bit for each. The sketch never underestimates,
-   so no repeated window is lost.
+   fingerprint, to tasks that own a range of fingerprints, which group them and
+   answer with a bit for each. The sketch never underestimates, so no repeated
+   window is lost.
 3. Each chunk removes every word covered by a repeated window.
 
+Windows are grouped by fingerprints of twice 61 bits, polynomials of words at
+four bases drawn for the run (`framelake.llm.textops`): whatever the texts, two
+given different windows agree with a probability of about 36**2 / 2**122, and any
+two of the 1e13 windows of 100 TB with one of about 2**-25.
+
 Fingerprints are packed per chunk and range, so a window that a third of all
 rows hold is one entry a chunk. No key gathers rows.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,17 +32,38 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from framelake.llm import sketch
-from framelake.llm.textops import U64, Words, cut_words, doc_of, give_back, join_words, runs_of, text_bytes, to_strings, word_hashes
-from framelake.llm.workspace import extent, fresh, partitions
+from framelake.llm.textops import U64, Words, cut_words, doc_of, draw, give_back, join_words, runs_of, text_bytes, to_strings, word_hashes
+from framelake.llm.workspace import executor_bytes, fresh, partitions, settle
 
 CHUNK_BYTES = 2_000_000
 RANGE_KEYS = 500_000
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_col: str, chunks: int) -> DataFrame:
-    """docs with the name of each row's chunk, dealt out by it."""
-    key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks).cast("long"))
-    return docs.withColumn(chunk_col, key).repartition(partitions(docs.sparkSession), chunk_col)
+class Chunks(NamedTuple):
+    dealt: DataFrame  # docs with the name of each row's chunk, dealt out by it
+    number: int
+    bytes: int
+    scale: int  # of chunks and ranges (sketch.scale_of)
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_col: str) -> Chunks:
+    """docs in chunks of about CHUNK_BYTES times the scale, by a hash of id and text.
+
+    Rows that repeat, id and all, would share a chunk however many they are;
+    where such a group is larger than a chunk, its rows are numbered, and the
+    numbered rows written, so that a repeated task finds the same numbers.
+    """
+    spark = docs.sparkSession
+    whole = [F.col(id_col), F.col(text_col)]
+    alike = docs.groupBy(F.xxhash64(*whole).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 32).alias("b"))
+    size = alike.agg(F.sum("b").alias("b"), F.max(F.when(F.col("n") > 1, F.col("b"))).alias("most")).first()
+    scale = sketch.scale_of(size["b"] or 0, executor_bytes(spark))
+    number = max(1, (size["b"] or 0) // (CHUNK_BYTES * scale))
+    if (size["most"] or 0) > CHUNK_BYTES * scale:
+        docs = settle(docs.withColumn(chunk_col, F.monotonically_increasing_id()), "numbered")
+        whole.append(F.col(chunk_col))
+    key = F.pmod(F.xxhash64(*whole), F.lit(number).cast("long"))
+    return Chunks(docs.withColumn(chunk_col, key).repartition(partitions(spark), chunk_col), number, size["b"] or 0, scale)
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, depth: int = 2) -> DataFrame:
@@ -47,20 +75,20 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     shorter than the window stays. Rows that repeat, ids included, are documents
     like any others. An empty table gives an empty result.
     """
-    size = extent(docs, text_col)
     words_col, removed_col, chunk_col = fresh(docs, "n_words"), fresh(docs, "n_removed"), fresh(docs, "chunk")
-    chunks = max(1, size.bytes // CHUNK_BYTES)
-    expected = max(1, size.bytes // 6)
-    plan = sketch.plan_sketch(expected, depth)
-    exact_bits = max(0, (expected // RANGE_KEYS).bit_length())
+    dealt, _, size, scale = chunked(docs, id_col, text_col, chunk_col)
+    expected = max(1, size // 6)
+    plan = sketch.plan_sketch(expected, depth, scale)
+    exact = max(1, expected // (RANGE_KEYS * scale))
+    exact_edges = np.array([(r << 64) // exact for r in range(1, exact)], U64)
+    bases, others = draw(), draw()
     fields = list(docs.schema)
-    dealt = chunked(docs, id_col, text_col, chunk_col, chunks)
     out_schema = StructType([*(StructField(f.name, StringType() if f.name == text_col else f.dataType, True) for f in fields), StructField(words_col, LongType()), StructField(removed_col, LongType())])
 
     def look(table: pa.Table) -> tuple[Words, np.ndarray, np.ndarray]:
         give_back()
         words = cut_words(*text_bytes(table.column(text_col)))
-        keys, at = runs_of(word_hashes(words), words.first, window)
+        keys, at = runs_of(word_hashes(words, bases.word), words.first, window, bases.run)
         return words, keys, at
 
     def send(table: pa.Table) -> pa.Table:
@@ -73,8 +101,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
         distinct, inverse = np.unique(keys, return_inverse=True)
         maybe = (sketch.levels(distinct, answers, plan) > 1)[inverse]
         at, keys = at[maybe], keys[maybe]
-        hashes = word_hashes(words, 1)
-        second, all_at = runs_of(hashes, words.first, window, 1)
+        second, all_at = runs_of(word_hashes(words, others.word), words.first, window, others.run)
         second = second[np.searchsorted(all_at, at)]
         order = np.lexsort((second, keys))
         a, b = keys[order], second[order]
@@ -84,9 +111,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
         entry = np.empty(len(at), np.int64)
         entry[order] = np.cumsum(new) - 1
         counts = np.diff(head, append=len(a))
-        edges = np.searchsorted(a[head], np.arange((1 << exact_bits) + 1).astype(U64) << U64(64 - exact_bits)) if exact_bits else np.array([0, len(head)])
-        if exact_bits:
-            edges[-1] = len(head)
+        edges = np.concatenate(([0], np.searchsorted(a[head], exact_edges), [len(head)]))
         return at, entry, a[head], b[head], counts, edges
 
     def send_suspects(table: pa.Table, answered: pa.Table) -> pa.Table:
@@ -140,11 +165,11 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
         return pa.table([*columns, pa.array(words.per_doc, pa.int64()), pa.array(removed, pa.int64())], names=out_schema.names)
 
     sent = dealt.groupBy(chunk_col).applyInArrow(send, sketch.SENT)
-    answers = sent.groupBy("slot").applyInArrow(sketch.merge, sketch.ANSWERED)
+    answers = sent.groupBy("slot").applyInArrow(lambda table: sketch.merge(table, plan.width), sketch.ANSWERED)
     by_chunk = lambda df: df.groupBy("chunk")
     suspected = dealt.groupBy(chunk_col).cogroup(by_chunk(answers)).applyInArrow(send_suspects, sketch.SENT)
-    exact = suspected.groupBy("slot").applyInArrow(group_exactly, sketch.ANSWERED)
-    return dealt.groupBy(chunk_col).cogroup(by_chunk(answers.unionByName(exact))).applyInArrow(clean, out_schema)
+    repeated = suspected.groupBy("slot").applyInArrow(group_exactly, sketch.ANSWERED)
+    return dealt.groupBy(chunk_col).cogroup(by_chunk(answers.unionByName(repeated))).applyInArrow(clean, out_schema)
 
 
 def _entries(size: int) -> int:

@@ -2,13 +2,19 @@
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. In UTF-8 those
 bytes never occur inside a longer character, so words can be cut from bytes.
-Hashes are 64-bit polynomials of the bytes, finalised by a bijective mixer;
-where equality must be certain, two with unrelated bases are used together.
+
+Words and runs of words are named by polynomials modulo the prime 2**61 - 1 at
+bases that a run draws at random. No text can be written so that it collides: of
+texts fixed before the draw, two that differ in n blocks of seven bytes agree
+with a probability of at most (n + 1) / 2**61, and where 64 bits are too few, two
+polynomials at independent bases are taken together.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import secrets
 from typing import NamedTuple
 
 import numpy as np
@@ -21,10 +27,28 @@ SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Folds A-Z to a-z and leaves all other bytes alone.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-#: Odd 64-bit bases, by which two hashes of one word are unrelated.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_BLOCK = 1 << 18
-_POWERS: dict[tuple[int, int], np.ndarray] = {}
+PRIME = (1 << 61) - 1
+#: Rows of arithmetic at once: few enough for the processor's cache.
+_BLOCK = 1 << 16
+#: Words of more bytes than this are hashed one by one.
+_LONG = 256
+_POWERS: dict[int, np.ndarray] = {}
+
+
+class Bases(NamedTuple):
+    """Where the polynomials are evaluated: those of words' bytes and those of runs of words."""
+
+    word: int
+    run: int
+
+
+def draw() -> Bases:
+    """Bases for one run; drawn on the driver, so that all tasks and their repetitions agree."""
+    return Bases(*((1 << 32) + secrets.randbelow(PRIME - (1 << 33)) for _ in range(2)))
+
+
+#: Bases of hashes that models are fitted on, where a collision merges two features.
+FIXED = Bases(0x1E3779B97F4A7C15, 0x16E8FEB86659FD93)
 
 
 class Words(NamedTuple):
@@ -80,20 +104,29 @@ def cut_words(data: np.ndarray, offs: np.ndarray) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, offs))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n modulo 2**64."""
-    found = _POWERS.get((base, 0))
-    if found is None or len(found) <= n:
-        size = max(_BLOCK, 1 << int(n).bit_length()) + 1
-        found = np.full(size, base, U64)
-        found[0] = 1
-        found = np.cumprod(found, dtype=U64)
-        _POWERS[base, 0] = found
-    return found
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it."""
+    a0, a1, b0, b1 = a & U64(0xFFFFFFFF), a >> U64(32), b & U64(0xFFFFFFFF), b >> U64(32)
+    low, mid = a0 * b0, a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << U64(3)) + (mid >> U64(29)) + ((mid & U64((1 << 29) - 1)) << U64(32)) + (low >> U64(61)) + (low & U64(PRIME)))
 
-def _inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, ... n modulo PRIME, at least."""
+    found = _POWERS.get(base, np.ones(1, U64))
+    if len(found) <= n:
+        while len(found) <= max(n, 2 * _BLOCK):
+            found = np.concatenate((found, _times(found, np.full(1, pow(base, len(found), PRIME), U64))))
+        if len(_POWERS) > 16:  # a worker outlives the runs whose bases it has seen
+            _POWERS.clear()
+        _POWERS[base] = found
+    return found
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -103,27 +136,57 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def word_hashes(words: Words, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, in blocks, so that memory doesn't follow the text's length."""
-    base = BASES[which]
-    inverse = _inverse(base)
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _bytes_left(sizes: np.ndarray, begin: int, width: int) -> np.ndarray:
+    """A mask of the bytes of a lane of `width` bytes from `begin` on that belong to words of these sizes."""
+    return (U64(1) << (U64(8) * np.clip(sizes - begin, 0, width).astype(U64))) - U64(1)
+
+
+def word_hashes(words: Words, base: int) -> np.ndarray:
+    """A number below PRIME for each word: its length and its bytes, seven at a time, as a polynomial at `base`."""
+    lanes = _lanes(words.data)
     out = np.empty(len(words.starts), U64)
-    i = 0
-    while i < len(out):
-        j = max(i + 1, int(np.searchsorted(words.ends, words.starts[i] + _BLOCK, "right")))
-        lo = words.starts[i]
-        part = words.data[lo : words.ends[j - 1]]
-        sums = np.zeros(len(part) + 1, U64)
-        np.cumsum((part.astype(U64) + U64(1)) * _powers(base, len(part))[: len(part)], dtype=U64, out=sums[1:])
-        s, e = words.starts[i:j] - lo, words.ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * _powers(inverse, len(part))[s] ^ (e - s).astype(U64))
-        i = j
+    key, r = base.to_bytes(8, "little"), np.full(1, base, U64)
+    for lo in range(0, len(out), _BLOCK):
+        starts = words.starts[lo : lo + _BLOCK]
+        sizes = words.ends[lo : lo + _BLOCK] - starts
+        h = sizes.astype(U64)
+        long = np.flatnonzero(sizes > _LONG)
+        live, begin = np.flatnonzero(sizes <= _LONG), 0
+        while len(live):
+            lane = lanes[starts[live] + begin] & _bytes_left(sizes[live], begin, 7)
+            h[live] = _reduced(_times(h[live], r) + lane)
+            begin += 7
+            live = live[sizes[live] > begin]
+        for i in long:  # by a keyed cryptographic hash
+            raw = hashlib.blake2b(words.data[starts[i] : starts[i] + sizes[i]], digest_size=8, key=key).digest()
+            h[i] = int.from_bytes(raw, "little") % PRIME
+        out[lo : lo + _BLOCK] = h
     return out
 
 
-def runs_of(hashes: np.ndarray, first: np.ndarray, size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of `size` consecutive words within a document, and the index of each run's first word."""
-    base = BASES[1 - which] | 1
+def same_words(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a_starts on in a are those from b_starts on in b, for sizes bytes each."""
+    same = np.ones(len(sizes), bool)
+    a_lanes, b_lanes = _lanes(a), _lanes(b)
+    for i in np.flatnonzero(sizes > _LONG):
+        same[i] = np.array_equal(a[a_starts[i] : a_starts[i] + sizes[i]], b[b_starts[i] : b_starts[i] + sizes[i]])
+    live, begin = np.flatnonzero(sizes <= _LONG), 0
+    while len(live):
+        differ = (a_lanes[a_starts[live] + begin] ^ b_lanes[b_starts[live] + begin]) & _bytes_left(sizes[live], begin, 7)
+        same[live[differ != 0]] = False
+        begin += 7
+        live = live[(sizes[live] > begin) & same[live]]
+    return same
+
+
+def runs_of(hashes: np.ndarray, first: np.ndarray, size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of all runs of `size` consecutive words (numbers below PRIME) within a document, and the index of each run's first word."""
     n = len(hashes)
     begins = np.ones(n, bool)
     for back in range(1, size):
@@ -132,19 +195,31 @@ def runs_of(hashes: np.ndarray, first: np.ndarray, size: int, which: int = 0) ->
     at = np.flatnonzero(begins)
     at = at[at + size <= n]
     out = np.empty(len(at), U64)
-    lo = 0
-    while lo < len(at):
-        hi = min(len(at), lo + _BLOCK)
-        w0, w1 = at[lo], at[hi - 1] + size
-        part = hashes[w0:w1]
-        sums = np.zeros(len(part) + 1, U64)
-        np.cumsum(part * _powers(base, len(part))[: len(part)], dtype=U64, out=sums[1:])
-        s = at[lo:hi] - w0
-        out[lo:hi] = mix((sums[s + size] - sums[s]) * _powers(_inverse(base), len(part))[s])
-        lo = hi
+    inverse = pow(base, -1, PRIME)
+    for lo in range(0, len(at), _BLOCK):
+        begin = at[lo : lo + _BLOCK]
+        part = hashes[begin[0] : begin[-1] + size]
+        terms = _times(part, _powers(base, len(part))[: len(part)])
+        s = begin - begin[0]
+        sums = []
+        for half in (terms & U64(0xFFFFFFFF), terms >> U64(32)):
+            total = np.zeros(len(part) + 1, U64)
+            np.cumsum(half, dtype=U64, out=total[1:])
+            sums.append(total[s + size] - total[s])
+        low, high = sums
+        value = _reduced((high >> U64(29)) + ((high & U64((1 << 29) - 1)) << U64(32)) + low)
+        out[lo : lo + _BLOCK] = mix(_times(value, _powers(inverse, len(part))[s]))
     return out, at
 
 
+def whole_text_keys(hashes: np.ndarray, k: int, base: int) -> np.ndarray:
+    """64-bit keys of rows of k words each, apart from those of runs of another number of words."""
+    value = np.zeros(len(hashes), U64)
+    for column in hashes.T:
+        value = _reduced(_times(value, np.full(1, base, U64)) + column)
+    return mix(value) ^ mix(np.full(1, k, U64))
+
+
 def doc_of(positions: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The document of each word index."""
     return np.searchsorted(first, positions, "right") - 1

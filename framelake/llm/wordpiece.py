@@ -2,8 +2,8 @@
 
 `word_bpe_49k.json` drops white space before it merges, so a text's ids are
 those of its ASCII-space-separated words one after another. Distinct words are
-encoded once and kept in sorted arrays by hash (about 20 bytes a word); the rest
-is NumPy. New words of plain Latin characters are merged by tiktoken, given the
+encoded once and kept in sorted arrays by hash, with their bytes, which are
+compared wherever a word is found again; the rest is NumPy. New words of plain Latin characters are merged by tiktoken, given the
 same merges as ranks with a byte that stands for a word's end; all others go
 through the tokenizer itself.
 """
@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from framelake.llm.textops import U64, cut_words, give_back, text_bytes, word_hashes
+from framelake.llm.textops import U64, cut_words, draw, give_back, same_words, text_bytes, word_hashes
 
 #: Words that a worker remembers at most; beyond, it starts anew.
 CACHE_WORDS = 500_000
@@ -104,23 +104,30 @@ class _Merger:
 
 
 class _Memory(NamedTuple):
-    keys: np.ndarray  # word hashes, ascending
+    """Words by ascending hash: where the bytes and the ids of each are."""
+
+    keys: np.ndarray
+    raw_at: np.ndarray
+    raw_sizes: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
+    raw: np.ndarray
     flat: np.ndarray
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
-    def with_words(self, keys: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> _Memory:
-        starts = np.cumsum(sizes) - sizes + len(self.flat)
+    def with_words(self, keys: np.ndarray, raw: np.ndarray, raw_sizes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> _Memory:
         at = np.searchsorted(self.keys, keys)
-        return _Memory(np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes), np.concatenate((self.flat, flat)))
+        raw_at, starts = np.cumsum(raw_sizes) - raw_sizes + len(self.raw), np.cumsum(sizes) - sizes + len(self.flat)
+        columns = zip(self[:5], (keys, raw_at, raw_sizes, starts, sizes), strict=True)
+        return _Memory(*(np.insert(old, at, new) for old, new in columns), np.concatenate((self.raw, raw)), np.concatenate((self.flat, flat)))
 
 
-_EMPTY = _Memory(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+_EMPTY = _Memory(np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint8), np.zeros(0, np.uint32))
 _LOADED: dict[str, tuple[_Merger, list[_Memory]]] = {}
+_BASE = draw().word
 
 
 def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -129,17 +136,31 @@ def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         _LOADED[path] = _Merger(path), [_EMPTY]
     merger, kept = _LOADED[path]
     words = cut_words(*text_bytes(column))
-    keys, first, inverse = np.unique(word_hashes(words), return_index=True, return_inverse=True)
+    word_sizes = words.ends - words.starts
+
+    def ids_of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = words.data.tobytes()
+        return merger.encode([raw[s:e].decode() for s, e in zip(words.starts[which].tolist(), words.ends[which].tolist(), strict=True)])
+
+    keys, first, inverse = np.unique(word_hashes(words, _BASE), return_index=True, return_inverse=True)
     at, known = kept[0].find(keys)
     new = np.flatnonzero(~known)
     if len(new):
         if len(kept[0].keys) + len(new) > CACHE_WORDS:
             kept[0], new = _EMPTY, np.arange(len(keys))
-        starts, ends = words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
-        raw = words.data.tobytes()
-        flat, sizes = merger.encode([raw[s:e].decode() for s, e in zip(starts, ends, strict=True)])
-        kept[0] = kept[0].with_words(keys[new], flat, sizes)
+        flat, sizes = ids_of(first[new])
+        of = first[new]
+        kept[0] = kept[0].with_words(keys[new], words.data[spread(words.starts[of], word_sizes[of])], word_sizes[of], flat, sizes)
         at, _ = kept[0].find(keys)
-    per_word = kept[0].sizes[at][inverse]
-    ids = kept[0].flat[spread(kept[0].starts[at][inverse], per_word)]
-    return ids, np.concatenate(([0], np.cumsum(per_word)))[words.first]
+    at = at[inverse]
+    memory = kept[0]
+    same = memory.raw_sizes[at] == word_sizes
+    check = np.flatnonzero(same)
+    same[check] = same_words(words.data, words.starts[check], memory.raw, memory.raw_at[at[check]], word_sizes[check])
+    starts, per_word, source = memory.starts[at], memory.sizes[at], memory.flat
+    if not same.all():  # other words of one hash: encoded anew
+        other = np.flatnonzero(~same)
+        flat, sizes = ids_of(other)
+        starts, per_word, source = starts.copy(), per_word.copy(), np.concatenate((source, flat))
+        starts[other], per_word[other] = np.cumsum(sizes) - sizes + len(memory.flat), sizes
+    return source[spread(starts, per_word)], np.concatenate(([0], np.cumsum(per_word)))[words.first]

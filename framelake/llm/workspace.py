@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,14 +41,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-class Extent(NamedTuple):
-    rows: int
-    bytes: int
-
-
-def extent(df: DataFrame, text_col: str) -> Extent:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col))).alias("b")).first()
-    return Extent(row["n"] or 0, row["b"] or 0)
+def executor_bytes(spark: SparkSession) -> int:
+    """Heap of an executor, by which the sizes of what Python workers beside it hold are chosen."""
+    conf, local = spark.sparkContext.getConf(), spark.sparkContext.master.startswith("local[")
+    said = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(said[-1])
+    return int(said[:-1]) * unit if unit else int(said) << 20
 
 
 def partitions(spark: SparkSession) -> int:

@@ -21,6 +21,12 @@ PASSAGE = prose(1, 60)
 HOT = prose(2, 120)
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """The Thue-Morse word over a and b and its complement: polynomials modulo powers of two don't tell them apart."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
 def documents() -> list[tuple[int, str | None]]:
     near = prose(3, 200).split()
     out: list[tuple[int, str | None]] = [(0, None), (1, ""), (2, " \t\n "), (3, "one"), (4, "one two three"), (5, "ONE two\tthree")]

@@ -9,10 +9,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from framelake.llm import wordpiece
 from framelake.llm.packing import _fractional, _rounded, cut_pieces, pack, plan_sequences
 from framelake.llm.queries import tokenizer_path
 from framelake.llm.wordpiece import encode
-from tests.llm.corpus import documents
+from tests.llm.corpus import documents, thue_morse
 
 PATH = tokenizer_path("word_bpe_49k.json")
 
@@ -101,3 +102,18 @@ def test_fast_encoding_is_the_tokenizer_s(texts):
     texts = [t for t in texts if not any(0xD800 <= ord(c) < 0xE000 for c in t)]
     ids, offs = encode(pa.array(texts, pa.string()), PATH)
     assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_one_hash_keep_their_own_ids(tokenizer, monkeypatch):
+    """Thue-Morse words, and all words under a hash that calls every two alike, within a batch and from one to the next."""
+    texts = [w for n in (1_024, 2_048, 4_096) for w in thue_morse(n)] + ["some plain words", "other plain ones", None, "a\u00e9 some"]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(wordpiece, "_LOADED", {})
+    for name in ("as it is", "constant"):
+        if name == "constant":
+            monkeypatch.setattr(wordpiece, "word_hashes", lambda words, base: np.ones(len(words.starts), np.uint64))
+            monkeypatch.setattr(wordpiece, "_LOADED", {})
+        for _ in range(2):
+            ids, offs = wordpiece.encode(pa.array(texts), PATH)
+            assert [ids[a:b].tolist() for a, b in zip(offs, offs[1:], strict=False)] == want
+            texts, want = texts[::-1], want[::-1]
