@@ -17,19 +17,20 @@ def tables(spark):
     return docs, items
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     docs, items = tables(spark)
     want = set()
     for d, a in sets(docs):
         for i, b in sets(items):
             if b and len(a & b) * 100 >= 80 * len(b):
                 want.add((d, i, len(b), len(a & b)))
-    for bound in (200_000, 0):  # broadcast or shuffled
-        decontaminate.BROADCAST_ROWS = bound
+    for bound, hashes in ((200_000, 20_000), (200_000, 0), (0, 0)):  # a set literal, broadcast, or shuffled
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+        monkeypatch.setattr(decontaminate, "SET_HASHES", hashes)
         found = find_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
         rows = [tuple(r) for r in found.select("doc_id", "item_id", "n_item", "n_shared").collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
-    decontaminate.BROADCAST_ROWS = 200_000
+    monkeypatch.undo()
     assert len(want) > 8
     kept = drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _ in docs if d not in {w[0] for w in want})
@@ -46,6 +47,32 @@ def test_items_numbered_alike_and_rows_without_ids(spark):
     assert kept.columns == ["doc_id", "text"] and {tuple(r) for r in kept.collect()} == set(rows[4:])
 
 
+def test_rows_of_one_id_go_by_their_text(spark):
+    item = prose(900, 25, 200)
+    docs = spark.createDataFrame([(1, f"x {item}"), (1, "another text"), (1, "another text"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in drop_contaminated(docs, items).where("text is not null").collect()) == [(1, "another text")] * 2
+    assert drop_contaminated(docs, items).count() == 3
+    assert [tuple(r) for r in find_contaminated(docs, items).collect()] == [(1, 5, 21, 21)]
+
+
+def test_a_shingle_in_every_item(spark, monkeypatch):
+    """Items that begin alike: what they share brings no document to all of them, and the result is the brute force's."""
+    monkeypatch.setattr(decontaminate, "COMMON", 4)
+    common = "answer the following question now please"
+    items = [(i, f"{common} {prose(900 + i, 20, 300)}") for i in range(40)] + [(99, "answer the following question now")]
+    docs = [(i, f"{prose(950 + i, 100)} {items[i][1] if i < 8 else common} {prose(980 + i, 60)}") for i in range(30)]
+    want = {(d, i, len(b), len(a & b)) for d, a in sets(docs) for i, b in sets(items) if len(a & b) * 100 >= 80 * len(b)}
+    item_df = spark.createDataFrame(items, "item_id long, text string")
+    found = find_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), item_df)
+    assert {tuple(r) for r in found.collect()} == want and len(want) == 38
+    texts = item_df.selectExpr("item_id AS item", "item_id AS name", "text")
+    shingled = decontaminate._shingled(texts, 5)
+    sketches = decontaminate._sketches(shingled, 80)
+    shares = sketches.groupBy("h").count()
+    assert shares.where("count > 2").count() == 0 and sketches.select("item").distinct().count() == 41
+
+
 def test_no_python_in_the_plan(spark):
     docs, items = tables(spark)
     found = find_contaminated(spark.createDataFrame([(1, "a")], "doc_id long, text string").selectExpr("doc_id", "text"), spark.range(1).selectExpr("id AS item_id", "'x' AS text"))
