@@ -155,18 +155,26 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     known, open_sets = _sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), n, percent)
     spark = docs.sparkSession
-    first = settle(known.where("node is not null").groupBy("node").agg(F.min("id").alias("value")), "first")
+    first = settle(known.where("node is not null").groupBy("node").agg(F.min("id").alias("value"), F.count(F.lit(1)).alias("rows")), "first")
     links = spark.createDataFrame([], "a binary, b binary")
     for g in TURNS if leaders else ():
         links = links.unionByName(_lead(open_sets, g, percent))
     links = settle(links, "links")
-    labels = components(links, values=first)
+    values = first.select("node", "value")
+    labels = components(links, values=values)
     labelled = open_sets.select("node", "n").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = settle(_matrix(open_sets, settle(_parted(labelled), "placed"), percent, every=False), "links").select("a", "b")
     if rest.limit(1).count():
-        labels = components(links.unionByName(rest), values=first)
-    reached = first.join(labels.select("node", F.col("value").alias("reached")), "node", "left").select("node", F.coalesce("reached", "value").alias("component_id"))
-    out = known.join(reached, "node", "left")
+        labels = components(links.unionByName(rest), values=values)
+    reached = first.join(labels.select("node", F.col("value").alias("reached")), "node", "left").select("node", F.coalesce("reached", "value").alias("component_id"), "rows")
+    reached = settle(reached, "reached")
+    # Sets that many rows have are few: their rows stay where they are.
+    often = reached.where(F.col("rows") > GROUP)
+    if often.count() <= BROADCAST_ROWS:
+        often = F.broadcast(often.drop("rows"))
+        out = known.join(often, "node").unionByName(known.join(often, "node", "left_anti").join(reached.where(F.col("rows") <= GROUP).drop("rows"), "node", "left"))
+    else:
+        out = known.join(reached.drop("rows"), "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
