@@ -55,6 +55,46 @@ def test_recall(spark, monkeypatch, lengths):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_recall_at_default_settings(spark):
+    """12,000 isotropic rows: no cluster helps. And as many in clusters, where the measured window stays far below the table."""
+    rng = np.random.default_rng(5)
+    n, seen = 12_000, []
+    measured = ann._measured
+    for centres in (0, 300):
+        v = rng.normal(size=(n, 32)) if not centres else rng.normal(size=(centres, 32))[rng.integers(0, centres, n)] + 0.15 * rng.normal(size=(n, 32))
+        v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+        docs = spark.createDataFrame([(i, x.tolist(), None) for i, x in enumerate(v)], SCHEMA)
+        ann._measured = lambda *a: seen.append(measured(*a)) or seen[-1]
+        try:
+            found = nearest(docs, F.col("vec_id") % 20 == 0).toPandas()
+        finally:
+            ann._measured = measured
+        x = v.astype(float)
+        s = x[::20] @ x.T
+        s[np.arange(len(s)), np.arange(0, n, 20)] = -9
+        want = {(20 * i, int(j)) for i, row in enumerate(np.argsort(-s, axis=1)[:, :20]) for j in row}
+        got = set(zip(found["query_id"].tolist(), found["vec_id"].tolist(), strict=True))
+        assert len(got) == len(found) == n and len(got & want) >= 0.9 * len(want)
+        some = found.sample(500, random_state=1)
+        for q, j, score in zip(some["query_id"], some["vec_id"], some["score"], strict=True):
+            exact = 0.0
+            for a, b in zip(x[q].tolist(), x[j].tolist(), strict=True):
+                exact += a * b
+            assert score == exact
+    assert seen[1] < 0.01 * n < seen[0]
+
+
+def test_lengths_that_differ_are_searched_apart(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=2).tolist()) for i in range(40)] + [(40, [1.0, 2.0, 3.0]), (60, [1.0, 0.5, 0.0]), (80, [1.0]), (61, [0.0, 3.0, 0.0])]
+    found = nearest(spark.createDataFrame([(i, v, None) for i, v in rows], SCHEMA), F.col("vec_id") % 20 == 0, k=5)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {i: js for n in (1, 2, 3) for i, js in brute([r for r in rows if len(r[1]) == n], 5).items() if js}
+    assert got == want and got[40] == [61, 60]
+
+
 @pytest.mark.parametrize("lengths", [False, True])
 def test_a_third_are_copies(spark, monkeypatch, lengths):
     monkeypatch.setattr(ann, "LEAST_WINDOW", 60)
