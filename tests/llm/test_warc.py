@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import time
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -20,9 +22,20 @@ def pages():
     return rows + [(1, "http://a/1", same)]
 
 
-def test_round_trip(spark, tmp_path):
+@pytest.fixture(params=["whole", "split"])
+def splits(request, spark):
+    """Files read whole, or in splits far smaller than a record."""
+    if request.param == "split":
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "701b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_round_trip(spark, tmp_path, splits):
     rows = pages()
-    write_archives(spark.createDataFrame([(*r, 7) for r in rows], "page_id long, url string, html string, digest int"), str(tmp_path / "w"), records_per_file=7)
+    write_archives(spark.createDataFrame([(*r, 7) for r in rows], "page_id long, url string, html string, digest int"), str(tmp_path / "w"), archive_bytes=9_000)
     found = read_archives(spark, str(tmp_path / "w")).collect()
     first = {}
     for i, _, h in rows:
@@ -46,6 +59,44 @@ def test_limit_and_empty(spark, tmp_path):
     assert read_archives(spark, str(tmp_path / "b")).count() == 0
 
 
+@pytest.mark.parametrize("size", range(11, 60, 7))
+def test_splits_anywhere_in_the_magic(spark, tmp_path, size):
+    write_archives(spark.createDataFrame([(i, "u", f"{INNER}{i}" + "WARC/1.0WARC/1.0\r\n" * (i % 3)) for i in range(4)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", f"{size}b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = read_archives(spark, str(tmp_path / "w")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [f"{INNER}{i}" + "WARC/1.0WARC/1.0\r\n" * (i % 3) for i in range(4)]
+    assert sorted((r["page_id"], r["payload_digest"]) for r in found) == [(i, base64.b32encode(hashlib.sha1(w.encode()).digest()).decode()) for i, w in enumerate(want)]
+
+
+def test_any_name_but_hidden_ones(spark, tmp_path):
+    write_archives(spark.createDataFrame([(1, "u", "a")], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    raw = next((tmp_path / "w").glob("part-*")).read_bytes()
+    folder = tmp_path / "other"
+    folder.mkdir()
+    for name in ("crawl-1.warc", "b", "_hidden.warc", ".hidden"):
+        (folder / name).write_bytes(raw)
+    (folder / "text.warc").write_bytes(b"no archive" + raw)
+    (folder / "empty.warc").write_bytes(b"")
+    assert sorted(r["file"].rsplit("/", 1)[-1] for r in read_archives(spark, str(folder)).collect()) == ["b", "crawl-1.warc"]
+    assert read_archives(spark, str(folder), "*.warc").count() == 1
+
+
+def test_a_page_of_magics_is_read_once(spark, tmp_path):
+    """Two megabytes of quoted magics without a blank line, and as many of quoted records: time follows the bytes."""
+    pages = ["WARC/1.0\r\n" * 200_000, INNER * 30_000, "x" * 2_000_000]
+    docs = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    write_archives(docs, str(tmp_path / "w"))
+    began = time.perf_counter()
+    found = sorted((r["page_id"], r["payload_digest"], r["payload_bytes"]) for r in read_archives(spark, str(tmp_path / "w")).collect())
+    assert time.perf_counter() - began < 20
+    assert found == [(i, base64.b32encode(hashlib.sha1(p.encode()).digest()).decode(), len(p)) for i, p in enumerate(pages)]
+
+
 def test_cut_archive_ends_where_its_chain_breaks(spark, tmp_path):
     folder = tmp_path / "w"
     write_archives(spark.createDataFrame([(i, "u", f"{INNER}{i}") for i in range(9)], "page_id long, url string, html string").coalesce(1), str(folder), revisit_bytes=10**6)
