@@ -20,15 +20,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect, the one with the smallest id stays; of rows that repeat, one.
+    """Of rows that near-duplicate links connect, the one with the smallest id stays (then that of the smallest hash of its text); of rows that repeat, one.
 
-    Documents without words are linked with nothing and stay.
+    Rows, not ids, are decided on: where an id repeats with different texts, each
+    goes or stays by its own. Null ids count as larger than any. Rows without
+    words are linked with nothing and all stay.
     """
-    linked = settle(ngram_join.link_near_duplicates(docs), "linked")
-    others = linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("own"))
+    linked = settle(ngram_join.link_near_duplicates(docs.select(key.alias("row"), "text"), id_col="row"), "linked")
+    others = linked.where(F.col("row") != F.col("component_id")).select("row").distinct()
+    keyed = docs.withColumn("row_", key)
+    kept = keyed.join(others, F.col("row_") == F.col("row"), "left_anti")
+    repeated = settle(linked.where("n_shingles > 0").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row"), "repeated")
+    if repeated.limit(1).count():
+        again = F.col("row_") == F.col("row")
+        kept = kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["row_"]))
+    return kept.select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

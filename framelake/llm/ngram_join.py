@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from framelake.llm import sketch
 from framelake.llm.components import BROADCAST_ROWS, components
@@ -95,7 +96,6 @@ def _sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     dealt, _, size, scale = chunked(docs, "id", "text", "chunk_")
     plan = sketch.plan_sketch(max(1, size // 6), scale=scale)
     bases = draw()
-    id_type = docs.schema["id"].dataType.simpleString()
 
     def send(table: pa.Table) -> pa.Table:
         keys, counts = sketch.distinct(shingle_sets(table.column("text"), n, bases)[0])
@@ -122,7 +122,9 @@ def _sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
         return pa.table(columns, names=["id", "n", "node", "alone", "tokens", *TURNS])
 
     answers = dealt.groupBy("chunk_").applyInArrow(send, sketch.SENT).groupBy("slot").applyInArrow(lambda table: sketch.merge(table, plan.width), sketch.ANSWERED)
-    schema = f"id {id_type}, n long, node binary, alone long, tokens binary, " + ", ".join(f"{g} long" for g in TURNS)
+    schema = StructType([StructField("id", docs.schema["id"].dataType)]).add("n", "long").add("node", "binary").add("alone", "long").add("tokens", "binary")
+    for g in TURNS:
+        schema = schema.add(g, "long")
     known = settle(dealt.groupBy("chunk_").cogroup(answers.groupBy("chunk")).applyInArrow(describe, schema), "sets")
     return known.select("id", "n", "node"), settle(known.where("tokens is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "alone", "tokens", *TURNS))), "nodes")
 

@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from framelake.llm.features import Rows, labelled_sample, ngram_indicators
 from framelake.llm.wordpiece import slices
-from framelake.llm.workspace import fresh
+from framelake.llm.workspace import fresh, settle
 
 BITS = 18
 
@@ -117,15 +117,42 @@ def _take(rows: Rows, mask: np.ndarray) -> Rows:
     return Rows(rows.buckets[np.repeat(mask, sizes)], np.concatenate(([0], np.cumsum(sizes[mask]))))
 
 
-def train(docs: DataFrame, labels: DataFrame, wanted: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = 12_000) -> Model:
-    """A model of at most `most` labelled rows, those where wanted (of the id column) holds, chosen by a hash of the id."""
-    sample = labelled_sample(docs, labels, label, wanted, most, id_col, text_col)
+def train(docs: DataFrame, labels: DataFrame, wanted: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = 12_000, entries: int = 40_000_000) -> Model:
+    """A model of at most `most` labelled rows, those where wanted (of the id column) holds, chosen by a hash of the id.
 
-    def indicate(batches):
+    N-grams are counted in Spark, at most 2**BITS of them. Those whose shares in
+    the two classes lie farthest apart are gathered, as many as have at most
+    `entries` occurrences in the sample's rows together (four bytes each), so
+    that the driver's memory has a bound whatever the texts' lengths.
+    """
+    sample = settle(labelled_sample(docs, labels, label, wanted, most, id_col, text_col), "labelled")
+
+    def rows_of(batches):
         for b in batches:
             for lo, part in slices(b.column("text")):
-                rows = ngram_indicators(part, BITS)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(rows.offs, pa.int32()), pa.array(rows.buckets.astype(np.int32))), b.column("y").slice(lo, len(part))], names=["buckets", "y"])
+                yield ngram_indicators(part, BITS), b.column("y").slice(lo, len(part))
+
+    def count(batches):
+        for rows, y in rows_of(batches):
+            positive = np.repeat(y.to_numpy() > 0, np.diff(rows.offs))
+            seen, inverse = np.unique(rows.buckets, return_inverse=True)
+            p = np.bincount(inverse, weights=positive, minlength=len(seen)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(p), pa.array(np.bincount(inverse, minlength=len(seen)) - p)], names=["bucket", "pos", "neg"])
+
+    sizes = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("y") > 0).cast("int")), F.lit(0)).alias("p")).first()
+    n_pos, n_neg = sizes["p"], sizes["n"] - sizes["p"]
+    counts = sample.mapInArrow(count, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    table = counts.toArrow().sort_by("bucket")
+    pos, neg = table.column("pos").to_numpy(), table.column("neg").to_numpy()
+    far = np.abs(pos / max(n_pos, 1) - neg / max(n_neg, 1)) / np.sqrt(np.maximum(pos + neg, 1))
+    order = np.argsort(-far, kind="stable")
+    buckets = np.sort(table.column("bucket").to_numpy()[order[np.cumsum((pos + neg)[order]) <= entries]])
+
+    def indicate(batches):
+        for rows, y in rows_of(batches):
+            kept = np.isin(rows.buckets, buckets)
+            offs = np.concatenate(([0], np.cumsum(kept)))[rows.offs]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(rows.buckets[kept].astype(np.int32))), y], names=["buckets", "y"])
 
     table = sample.mapInArrow(indicate, "buckets array<int>, y int").toArrow()
     lists = table.column("buckets").combine_chunks()

@@ -1,7 +1,9 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
-Labels say toxic or not; the grades are 0 for what is not and 1 to `GRADES` for
-equal parts of what is, by the share of words that mark the toxic class. Features
+Labels are grades from 0 to `GRADES`. Where they only say toxic or not, the grades
+are 0 for what is not and 1 to `GRADES` for equal parts of what is, by the share
+of words that the fit itself finds to mark the toxic class: an order by density,
+not a judgement that the labels would hold. Features
 are whole words and word beginnings (insults are inflected), hashed; those whose
 shares in the two classes lie far enough apart are kept, and count per
 square root of the text's length, so that neither length alone nor one chance
@@ -87,7 +89,8 @@ def _fit(rows: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, si
 def train(docs: DataFrame, labels: DataFrame, wanted: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 12_000, features: int = 3_000, least_z: float = 3.0) -> Model:
     """A model of at most `most` labelled rows, those where wanted (of the id column) holds, chosen by a hash of the id.
 
-    With one class only, or no rows, it calls nothing toxic.
+    Labels above 1 are grades; if there are none, toxic rows are graded by density
+    (see above). With one class only, or no rows, it calls nothing toxic.
     """
     sample = settle(labelled_sample(docs, labels, label, wanted, most, id_col, text_col), "labelled")
 
@@ -126,9 +129,12 @@ def train(docs: DataFrame, labels: DataFrame, wanted: Column, label: str = "toxi
 
     # Six bytes for each chosen feature of a sampled row: at most 6 * most * features bytes, in practice a few MB.
     data = sample.mapInArrow(gather, "at array<smallint>, x array<float>, share double, y int").toPandas()
-    toxic, share = data["y"].to_numpy() > 0, data["share"].to_numpy()
-    edges = np.quantile(share[toxic], np.arange(1, GRADES) / GRADES)
-    grade = np.where(toxic, 1 + np.searchsorted(edges, share, "right"), 0)
+    y, share = data["y"].to_numpy(), data["share"].to_numpy()
+    if y.max() > 1:
+        grade = np.clip(y, 0, GRADES)
+    else:
+        edges = np.quantile(share[y > 0], np.arange(1, GRADES) / GRADES)
+        grade = np.where(y > 0, 1 + np.searchsorted(edges, share, "right"), 0)
     weights, thresholds = _fit(list(data["at"]), list(data["x"]), grade, len(buckets))
     return Model(buckets, weights, thresholds)
 

@@ -1,14 +1,16 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm import quality, toxicity
-from framelake.llm.features import cut_tokens, ngram_indicators
+from framelake.llm import quality, textops, toxicity
+from framelake.llm.features import PREFIXES, cut_tokens, ngram_indicators
 from tests.llm.corpus import prose
 
 GOOD, BAD = ["alpha", "beta", "gamma"], ["junk###", "spam|", "%%%"]
@@ -44,6 +46,83 @@ def test_quality_on_rows_held_out(spark):
     assert len(every) == docs.count() and all(0 <= r["_score"] <= 1 for r in every)
 
 
+def mixed(h):
+    mask = (1 << 64) - 1
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+    return h ^ h >> 31
+
+
+def named(word):
+    """The fixed hash of a word of up to 256 bytes, in whole numbers."""
+    value = len(word)
+    for i in range(0, len(word), 7):
+        value = (value * textops.FIXED.word + int.from_bytes(word[i : i + 7], "little")) % textops.PRIME
+    return mixed(value)
+
+
+def tokens(text):
+    return re.findall(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+
+
+def test_scores_by_hand(spark):
+    """Both models' scores of every row, worked out token by token."""
+    docs, labels = table(spark)
+    docs = docs.where("doc_id is null or doc_id <> 1002")
+    model = quality.train(docs, labels, F.lit(True))
+    for r in quality.score(docs, model).collect():
+        h = [named(t) for t in tokens(r["text"])]
+        found = {x >> 64 - quality.BITS for x in h} | {mixed((a * textops.FIXED.run + b) % 2**64) >> 64 - quality.BITS for a, b in zip(h, h[1:], strict=False)}
+        v = {b: float(model.ratios[b]) for b in found}
+        norm = math.sqrt(max(sum(x * x for x in v.values()), 1e-12))
+        margin = sum(x / norm * float(model.weights[b]) for b, x in v.items()) + model.bias
+        assert r["_score"] == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.shift))), abs=1e-6)
+    model = toxicity.train(docs, labels, F.lit(True))
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    for r in toxicity.grade(docs, model).collect():
+        x, words = 0.0, tokens(r["text"])
+        for t in words:
+            x += weight.get(named(t) >> 64 - toxicity.BITS, 0.0)
+            for n in PREFIXES:
+                if len(t) > n:
+                    code = 0
+                    for c in t[:n]:
+                        code = (code * textops.FIXED.word + c + 1) % 2**64
+                    x += weight.get(mixed(code ^ n) >> 64 - toxicity.BITS, 0.0)
+        above = [1 / (1 + math.exp(t - x / math.sqrt(max(len(words), 1)))) for t in model.thresholds]
+        assert r["severity"] == pytest.approx(sum(above), abs=1e-6) and r["toxic"] == (above[0] >= 0.5)
+
+
+def test_quality_gathers_a_bounded_number_of_entries(spark, monkeypatch):
+    docs, labels = table(spark)
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, y: seen.append(len(rows.buckets)) or fit(rows, y))
+    model = quality.train(docs, labels, F.lit(True), entries=3_000)
+    rows = quality.score(docs, model).join(labels.where("doc_id < 600 and quality is not null").dropDuplicates(["doc_id"]), "doc_id").collect()
+    assert 2_000 < seen[0] <= 3_000 and np.mean([(r["_score"] >= 0.5) == (r["quality"] == 1) for r in rows]) > 0.95
+
+
+def test_graded_labels_come_back_in_order(spark):
+    """Labels of grades that no share of marks tells: each grade has words of its own."""
+    r = random.Random(8)
+    marks = {1: ["tut", "fiddle"], 2: ["rogue", "scamp"], 3: ["caitiff", "dastard"]}
+    docs, labels = [], []
+    for i in range(800):
+        grade = i % 4
+        w = prose(i, 60).split()
+        for _ in range(4 if grade else 0):
+            w[r.randrange(60)] = r.choice(marks[grade])
+        docs.append((i, " ".join(w)))
+        labels.append((i, grade))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = quality.held_out(F.col("doc_id"))
+    out = toxicity.grade(docs, toxicity.train(docs, labels, ~held)).where(held).join(labels.withColumnRenamed("toxic", "want"), "doc_id")
+    rows = out.collect()
+    means = [np.mean([x["severity"] for x in rows if x["want"] == g]) for g in range(4)]
+    assert means == sorted(means) and np.mean([x["grade"] == x["want"] for x in rows]) > 0.8
+
+
 def test_quality_without_labels(spark):
     docs, labels = table(spark)
     for chosen in (labels.limit(0), labels.where("quality = 1")):

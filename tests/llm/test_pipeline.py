@@ -39,3 +39,17 @@ def test_stages_against_brute_force(spark, tmp_path):
         docs = after
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
     assert words("a") == ["a"]
+
+
+def test_groups_are_decided_by_rows(spark):
+    """An id's copy goes, its other text stays; of rows that repeat one stays; null ids come last; rows without words all stay."""
+    import corpus_pipeline
+
+    a, b, c, d = (prose(40 + i, 60) for i in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, d), (None, d + " more"), (5, None), (5, None), (6, ""), (6, ""), (None, None)]
+    out = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    found = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    one_of = [x for x in found if x[1] in (d, d + " more")]
+    assert len(one_of) == 1
+    want = [(1, a), (2, b), (3, c), (5, None), (5, None), (6, ""), (6, ""), (None, None), *one_of]
+    assert out.columns == ["doc_id", "text"] and found == sorted(want, key=str)
