@@ -115,19 +115,22 @@ Signal = np.ndarray  # (samples, 2)
 
 
 def over_samples(samples: DataFrame, kernel: Callable[[Signal, int, int, int], Signal], before: int, after: int, block: int = 65_536) -> DataFrame:
-    """(pos, l, r) by kernel(signal, start, stop, first): values for signal[start:stop], which begins at position `first`."""
-    ends = samples.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
-    lo, hi = (ends["lo"] or 0), (ends["hi"] if ends["hi"] is not None else -1)
+    """(pos, l, r) by kernel(signal, start, stop, first): values for signal[start:stop], which begins at position `first`.
+
+    Samples must be numbered without gaps; each block finds its ends in its own rows.
+    """
     homes = F.sequence(F.floor((F.col("pos") - after) / block), F.floor((F.col("pos") + before) / block))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        first, end = max(lo, key[0].as_py() * block), min(hi + 1, (key[0].as_py() + 1) * block)
-        empty = pa.table({"pos": pa.array([], pa.int64()), "l": pa.array([], pa.int32()), "r": pa.array([], pa.int32())})
-        if first >= end:
-            return empty
+        pos = table.column("pos").to_numpy()
+        own = pos[pos // block == key[0].as_py()]
+        if not len(own):
+            return pa.table({"pos": pa.array([], pa.int64()), "l": pa.array([], pa.int32()), "r": pa.array([], pa.int32())})
+        first, end = int(own.min()), int(own.max()) + 1
         signal = np.zeros((end - first + before + after, 2), np.int64)
-        at = table.column("pos").to_numpy() - first + before
-        signal[at] = np.column_stack((table.column("l").to_numpy(), table.column("r").to_numpy()))
+        at = pos - first + before
+        near = (at >= 0) & (at < len(signal))
+        signal[at[near]] = np.column_stack((table.column("l").to_numpy(), table.column("r").to_numpy()))[near]
         out = np.clip(kernel(signal, before, before + end - first, first), -32768, 32767)
         return pa.table({"pos": pa.array(np.arange(first, end)), "l": pa.array(out[:, 0].astype(np.int32)), "r": pa.array(out[:, 1].astype(np.int32))})
 
@@ -193,10 +196,17 @@ def polyphase_bank(cutoff: float, half: int, phases: int = 256) -> np.ndarray:
     return h / h.sum(axis=1, keepdims=True)
 
 
-def resample(samples: DataFrame, ratio: float, half: int = 16, block: int = 65_536) -> DataFrame:
-    """round(n * ratio) samples in place of n, through a polyphase low pass; output positions are dealt out in blocks."""
-    ends = samples.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
-    lo, n = ends["lo"] or 0, (ends["hi"] - ends["lo"] + 1) if ends["hi"] is not None else 0
+def _bounds(samples: DataFrame, bounds: tuple[int, int] | None) -> tuple[int, int]:
+    """First position and number of samples: as given, else counted, which computes what samples are made of."""
+    if bounds is None:
+        ends = samples.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).first()
+        bounds = (0, 0) if ends["hi"] is None else (ends["lo"], ends["hi"] - ends["lo"] + 1)
+    return bounds
+
+
+def resample(samples: DataFrame, ratio: float, half: int = 16, block: int = 65_536, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """round(n * ratio) samples in place of n, through a polyphase low pass; output positions are dealt out in blocks. bounds: first position and n, if known."""
+    lo, n = _bounds(samples, bounds)
     total = int(n * ratio + 0.5)
     bank = polyphase_bank(min(1.0, ratio), half)
     span = block / ratio  # source samples of an output block
@@ -240,7 +250,7 @@ def center_cut(samples: DataFrame, window: int = 8192, hop: int = 1024, block: i
     return joined.select("pos", clip16(F.col("l") - F.col("c")).alias("l"), clip16(F.col("r") - F.col("c")).alias("r"), "c")
 
 
-def time_stretch(samples: DataFrame, ratio: float, window: int = 2048, search: int = 256) -> DataFrame:
+def time_stretch(samples: DataFrame, ratio: float, window: int = 2048, search: int = 256, bounds: tuple[int, int] | None = None) -> DataFrame:
     """n * ratio samples of unchanged pitch: overlapped windows, each moved to where it fits the last best.
 
     Every window depends on the one before, so a block of 2**18 samples starts
@@ -249,8 +259,7 @@ def time_stretch(samples: DataFrame, ratio: float, window: int = 2048, search: i
     hop = window // 2
     block = 1 << 18
     fade = np.arange(hop)[:, None] / hop
-    ends = samples.agg(F.max("pos").alias("hi")).first()
-    n = 0 if ends["hi"] is None else ends["hi"] + 1
+    n = sum(_bounds(samples, bounds))
     total = int(n * ratio + 0.5)
     span = block / ratio
     reach = window + search + hop
@@ -282,15 +291,16 @@ def time_stretch(samples: DataFrame, ratio: float, window: int = 2048, search: i
     return samples.select("pos", "l", "r", F.explode(homes).alias("block_")).groupBy("block_").applyInArrow(run, "pos long, l int, r int")
 
 
-def pitch_shift(samples: DataFrame, ratio: float) -> DataFrame:
+def pitch_shift(samples: DataFrame, ratio: float, bounds: tuple[int, int] | None = None) -> DataFrame:
     """The same length at another pitch: stretched, then resampled back."""
-    return resample(time_stretch(samples, ratio), 1 / ratio)
+    lo, n = _bounds(samples, bounds)
+    return resample(time_stretch(samples, ratio, bounds=(lo, n)), 1 / ratio, bounds=(0, int((lo + n) * ratio + 0.5)))
 
 
-def subset(samples: DataFrame, timeline: DataFrame, samples_per_frame: float) -> DataFrame:
+def subset(samples: DataFrame, timeline: DataFrame, samples_per_frame: float, cell: int = 65_536) -> DataFrame:
     """Samples that a video timeline's spans select, in its order; each span's ends are rounded so that the error never adds up.
 
-    The spans of one timeline are a script's, so their running sums run in one task and are broadcast.
+    A range join on cells of `cell` samples: a span is listed under every cell that it touches.
     """
     from framelake.plans.timeline import placed
 
@@ -300,7 +310,10 @@ def subset(samples: DataFrame, timeline: DataFrame, samples_per_frame: float) ->
         F.floor((F.col("dst0") + F.col("len")) * samples_per_frame + 0.5).cast("long").alias("out1"),
         "masked",
     )
-    joined = samples.join(F.broadcast(ends), (F.col("pos") >= F.col("src0")) & (F.col("pos") < F.col("src0") + F.col("out1") - F.col("out0")))
+    last = F.col("src0") + F.col("out1") - F.col("out0") - 1
+    ends = ends.where("out1 > out0").withColumn("cell_", F.explode(F.sequence(F.floor(F.col("src0") / cell), F.floor(last / cell))))
+    asked = samples.withColumn("cell_", F.floor(F.col("pos") / cell))
+    joined = asked.join(ends, "cell_").where(F.col("pos").between(F.col("src0"), last))
     quiet = lambda c: F.when(F.col("masked"), 0).otherwise(F.col(c)).alias(c)
     return joined.select((F.col("pos") - F.col("src0") + F.col("out0")).alias("pos"), quiet("l"), quiet("r"))
 

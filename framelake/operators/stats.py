@@ -32,7 +32,7 @@ def scene_changes(tiles: DataFrame, cut: int, fade: float, block: int = 512) ->
     """(frame, metric, is_cut, is_fade, fade_starts) against the frame before.
 
     metric sums the tiles' weighted channel differences; a fade is a frame whose
-    luma hardly varies. Each tile is a stream of its own, so its lag needs no more
+    luma hardly varies, and starts where the frame before is none. Each tile is a stream of its own, so its lag needs no more
     than its own frames; block only bounds the final pass over frames.
     """
     before = Window.partitionBy("tx", "ty", F.floor(F.col("frame") / block)).orderBy("frame")
@@ -43,7 +43,9 @@ def scene_changes(tiles: DataFrame, cut: int, fade: float, block: int = 512) ->
     change = F.shiftright(54 * F.abs(F.col("r") - F.col("r_p")) + 183 * F.abs(F.col("g") - F.col("g_p")) + 19 * F.abs(F.col("b") - F.col("b_p")), 8)
     luma = F.shiftright(54 * F.col("r") + 183 * F.col("g") + 19 * F.col("b") + 128, 8)
     per_frame = lagged.groupBy("frame").agg(F.coalesce(F.sum(change), F.lit(0)).alias("metric"), F.count(F.lit(1)).alias("n"), F.sum(luma).alias("s"), F.sum(luma * luma).alias("q"))
-    return per_frame.select("frame", "metric", (F.col("metric") > cut).alias("is_cut"), (F.sqrt((F.col("n") * F.col("q") - F.col("s") * F.col("s")).cast("double")) < fade).alias("is_fade"))
+    marked = per_frame.select("frame", "metric", (F.col("metric") > cut).alias("is_cut"), (F.sqrt((F.col("n") * F.col("q") - F.col("s") * F.col("s")).cast("double")) < fade).alias("is_fade"))
+    last = marked.select((F.col("frame") + 1).alias("frame"), F.col("is_fade").alias("faded"))
+    return marked.join(last, "frame", "left").select("frame", "metric", "is_cut", "is_fade", (F.col("is_fade") & ~F.coalesce("faded", F.lit(False))).alias("fade_starts"))
 
 
 def regression(points: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -118,10 +120,41 @@ def first_of_run(frame_map: DataFrame, order: str, value: str, block: int = 4096
     return out.withColumn("unique_frame", F.when(F.col("joined") & (F.col("begin_") == F.col("head_at")), F.col("carry")).otherwise(F.col("begin_"))).drop("block_", "begin_", "joined", "carry", "head_at")
 
 
-def nearest_points(curve: DataFrame, places: DataFrame) -> DataFrame:
-    """(frame, x): the curve's point nearest to each frame; curves are small and broadcast. Ties go to the smaller x."""
-    pairs = places.crossJoin(F.broadcast(curve.select("x")))
-    return pairs.groupBy("frame").agg(F.min_by("x", F.struct(F.abs(F.col("x") - F.col("frame")), F.col("x"))).alias("x"))
+def nearest_points(curve: DataFrame, places: DataFrame, block: int = 4096) -> DataFrame:
+    """(frame, x): the curve's point nearest to each frame, null without points. Ties go to the smaller x.
+
+    Points and frames are walked together in blocks; the points before and after
+    a block come through one row per block.
+    """
+    points = curve.select(F.col("x").cast("double").alias("at"), F.col("x").alias("x"), F.lit(None).cast("long").alias("frame"))
+    rows = places.select(F.col("frame").cast("double").alias("at"), F.lit(None).cast("double").alias("x"), F.col("frame").cast("long").alias("frame")).unionByName(points)
+    rows = rows.withColumn("block_", F.floor(F.col("at") / block))
+    w = Window.partitionBy("block_").orderBy("at")
+    before = F.max("x").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min("x").over(w.rangeBetween(0, Window.unboundedFollowing))
+    edges = rows.groupBy("block_").agg(F.min("x").alias("lo_"), F.max("x").alias("hi_"))
+    across = Window.orderBy("block_")  # one row per block
+    edges = edges.select("block_", F.max("hi_").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("left_"), F.min("lo_").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("right_"))
+    found = rows.withColumn("b_", before).withColumn("a_", after).where("frame is not null").join(edges, "block_")
+    left, right = F.coalesce("b_", "left_"), F.coalesce("a_", "right_")
+    nearest = F.when(left.isNull() | (right - F.col("at") < F.col("at") - left), right).otherwise(left)
+    return found.select("frame", nearest.alias("x"))
+
+
+def top_of(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each group, with their rank; Spark cuts each task's rows to k before they are shuffled."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def page_of(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """limit rows from offset on, in order."""
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[Column], tiles: int = 4) -> DataFrame:
+    """With row_number, rank, dense_rank and ntile within each group."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.select("*", F.row_number().over(w).alias("row_number"), F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense_rank"), F.ntile(tiles).over(w).alias("tile"))
 
 
 #: Job states by what wins a merge; fixed values.

@@ -57,10 +57,9 @@ def over_time(frames: DataFrame, kernel: Callable[[Planes, int, int], Planes], b
 
     kernel(planes, start, stop) gets the frames of a stretch and its neighbours
     in order, edge frames repeated where the stream has none, and returns planes
-    for the frames [start, stop). Frames must be numbered without gaps.
+    for the frames [start, stop). Frames must be numbered without gaps; each
+    stretch finds its ends in its own rows, so that nothing is computed beforehand.
     """
-    last = frames.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo, hi = last["lo"] or 0, last["hi"] if last["hi"] is not None else -1
     home = F.floor(F.col(order) / stretch)
     homes = F.sequence(F.floor((F.col(order) - after) / stretch), F.floor((F.col(order) + before) / stretch))
     spread = frames.select(order, *PLANES, F.explode(homes).alias("stretch_")) if before or after else frames.select(order, *PLANES, home.alias("stretch_"))
@@ -69,9 +68,10 @@ def over_time(frames: DataFrame, kernel: Callable[[Planes, int, int], Planes], b
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
         numbers = table.column(order).to_numpy()
-        first, end = max(lo, key[0].as_py() * stretch), min(hi + 1, (key[0].as_py() + 1) * stretch)
-        if first >= end:
+        own = numbers[numbers // stretch == key[0].as_py()]
+        if not len(own):
             return pa.table([pa.array([], k) for k in kinds], names=[order, *PLANES])
+        first, end = int(own[0]), int(own[-1]) + 1
         wanted = np.clip(np.arange(first - before, end + after), numbers[0], numbers[-1])
         at = np.searchsorted(numbers, wanted)
         planes = {k: v[at] for k, v in _planes(table, size).items()}

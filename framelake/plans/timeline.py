@@ -204,10 +204,11 @@ def lookup(timeline: DataFrame, places: DataFrame, cell: int = 256) -> DataFrame
     return found.select(asked["stream"], "place", F.coalesce(frame, F.lit(-1)).cast("long").alias("frame"), F.coalesce("masked", F.lit(False)).alias("masked"), F.coalesce(source, F.lit(-1)).cast("int").alias("source"))
 
 
-def reverse_lookup(timeline: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(stream, frame, place): the first place that shows a frame of (stream, frame), or -1."""
-    spans = placed(timeline)
-    on = (wanted["stream"] == spans["stream"]) & (wanted["frame"] >= spans["start"]) & (wanted["frame"] < spans["start"] + spans["len"])
+def reverse_lookup(timeline: DataFrame, wanted: DataFrame, cell: int = 256) -> DataFrame:
+    """(stream, frame, place): the first place that shows a frame of (stream, frame), or -1. A join on cells of source frames, as in lookup."""
+    spans = placed(timeline).where("len > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("start") + F.col("len") - 1) / cell))))
+    wanted = wanted.withColumn("cell", F.floor(F.col("frame") / cell))
+    on = (wanted["stream"] == spans["stream"]) & (wanted["cell"] == spans["cell"]) & (wanted["frame"] >= spans["start"]) & (wanted["frame"] < spans["start"] + spans["len"])
     return wanted.join(spans, on, "left").groupBy(wanted["stream"], wanted["frame"]).agg(F.coalesce(F.min_by(F.col("dst0") + F.col("frame") - F.col("start"), "ord"), F.lit(-1)).alias("place"))
 
 

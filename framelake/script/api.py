@@ -40,6 +40,11 @@ FILTERS = {
 }
 
 
+def _length(frames: DataFrame) -> int:
+    last = frames.agg(F.max("frame").alias("m")).first()["m"]
+    return 0 if last is None else last + 1
+
+
 @dataclass
 class Project:
     spark: SparkSession
@@ -56,7 +61,7 @@ class Project:
 
     def open(self, frames: DataFrame, width: int, height: int, rate: Fraction = Fraction(30)) -> None:
         """frames: (frame, r, g, b[, is_key]) without gaps from 0."""
-        n = (frames.agg(F.max("frame").alias("m")).first()["m"] or -1) + 1
+        n = _length(frames)
         self.source = Stream(frames, FrameSchema(width, height, "rgb", rate, n))
         self.keys = frames.select("frame", "is_key") if "is_key" in frames.columns else None
         self.timeline, self.rate, self.range_ms, self.range_frames = EditList.whole(n), None, None, None
@@ -64,7 +69,7 @@ class Project:
     def append(self, frames: DataFrame) -> None:
         names = ["frame", *PLANES]
         n = self.source.schema.count
-        more = (frames.agg(F.max("frame").alias("m")).first()["m"] or -1) + 1
+        more = _length(frames)
         self.timeline = self.timeline.add(n, more)
         s = self.source.schema
         self.source = Stream(files.append(self.source.frames.select(*names), frames.select(*names)), FrameSchema(s.width, s.height, s.model, s.rate, n + more))
@@ -84,7 +89,10 @@ class Project:
         start, end = self.selection()
         part = self.timeline.clip(start, max(0, end - start))
         if self.mode == 0 and self.keys is not None:
-            found = {r["frame"] for r in self.keys.where("is_key").where(F.col("frame").between(min((s.start for s in part.spans), default=0) - 1000, max((s.end for s in part.spans), default=0))).collect()}
+            starts = [s.start for s in part.spans]
+            # One row per span comes back, with the key that its first frame needs, however far back that is.
+            keyed = tl.previous_key(self.keys.withColumn("stream", F.lit(0))).where(F.col("frame").isin(starts))
+            found = {r["prev_key"] for r in keyed.select("prev_key").distinct().collect()}
             part = part.direct(lambda f: f in found)
         return part
 

@@ -345,70 +345,140 @@ def _riff(kind: bytes, body: bytes) -> bytes:
     return kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
 
 
-def avi_encode(frames: list[np.ndarray], rate: tuple[int, int] = (30, 1), keys: list[bool] | None = None, audio: Wave | None = None) -> bytes:
-    """Uncompressed frames, each followed by its share of the audio, and an index."""
+def avi_encode(frames: list[np.ndarray], rate: tuple[int, int] = (30, 1), keys: list[bool] | None = None, audio: Wave | None = None, riff_frames: int | None = None) -> bytes:
+    """Uncompressed frames, each followed by its share of the audio, and an index.
+
+    With more than riff_frames frames the file goes on in further RIFF parts, each
+    with an index of its chunks per stream, all of them named in the header.
+    """
     h, w, _ = frames[0].shape
     size = len(dib_encode(frames[0]))
-    main = struct.pack("<14I", 10**6 * rate[1] // rate[0], size * rate[0] // rate[1], 0, 0x10, len(frames), 0, 1 + (audio is not None), size, w, h, 0, 0, 0, 0)
+    per = riff_frames or len(frames)
+    parts = [_avi_part(frames, lo, min(len(frames), lo + per), rate, keys, audio) for lo in range(0, len(frames), per)]
+    several = len(parts) > 1
+    main = struct.pack("<14I", 10**6 * rate[1] // rate[0], size * rate[0] // rate[1], 0, 0x10, min(per, len(frames)), 0, 1 + (audio is not None), size, w, h, 0, 0, 0, 0)
     video = struct.pack("<4s4sIHHIIIIIIiI4H", b"vids", b"DIB ", 0, 0, 0, 0, rate[1], rate[0], 0, len(frames), size, -1, 0, 0, 0, w, h)
-    streams = _list(b"strl", _riff(b"strh", video) + _riff(b"strf", _dib_header(w, h, size)))
-    block = 0
+    heads = [_riff(b"strh", video) + _riff(b"strf", _dib_header(w, h, size))]
     if audio is not None:
         block = audio.channels * audio.bits // 8
         head = struct.pack("<4s4sIHHIIIIIIiI4H", b"auds", b"\0\0\0\0", 0, 0, 0, 0, block, audio.rate * block, 0, len(audio.samples), audio.rate * block, -1, block, 0, 0, 0, 0)
         form = struct.pack("<HHIIHHH", 1, audio.channels, audio.rate, audio.rate * block, block, audio.bits, 0)
-        streams += _list(b"strl", _riff(b"strh", head) + _riff(b"strf", form))
-    movi, index = b"", b""
+        heads.append(_riff(b"strh", head) + _riff(b"strf", form))
+
+    def header(places: list[list[tuple[int, int, int]]]) -> bytes:
+        """Stream headers; places: for each stream the offset, size and number of chunks of each part's index."""
+        lists = []
+        for i, head in enumerate(heads):
+            super_index = struct.pack("<HBBI4s12x", 4, 0, 0, len(parts), f"{i:02d}{'wb' if i else 'db'}".encode())
+            super_index += b"".join(struct.pack("<QII", *p) for p in places[i])
+            lists.append(_list(b"strl", head + (_riff(b"indx", super_index) if several else b"")))
+        more = _list(b"odml", _riff(b"dmlh", struct.pack("<I", len(frames)))) if several else b""
+        return _list(b"hdrl", _riff(b"avih", main) + b"".join(lists) + more)
+
+    places = [[(0, 0, 0)] * len(parts) for _ in heads]
+    at = 12 + len(header(places))
+    bodies = []
+    for k, (movi, index) in enumerate(parts):
+        base = at + 8  # of the list's kind, from which chunks are counted
+        indexes = b""
+        for i in range(len(heads) if several else 0):
+            own = [e for e in index if int(e[0][:2]) == i]
+            entries = b"".join(struct.pack("<II", place + 8, n | (0 if key else 1 << 31)) for _, place, n, key in own)
+            chunk = _riff(f"ix{i:02d}".encode(), struct.pack("<HBBI4sQI", 2, 0, 1, len(own), own[0][0] if own else b"", base, 0) + entries)
+            places[i][k] = base + 4 + len(movi) + len(indexes), len(chunk), len(own)
+            indexes += chunk
+        body = _list(b"movi", movi + indexes)
+        if k == 0:
+            body += _riff(b"idx1", b"".join(kind + struct.pack("<III", 0x10 if key else 0, place, n) for kind, place, n, key in index))
+        bodies.append(body)
+        at += len(body) + 12  # the next part's own head
+    first = _riff(b"RIFF", b"AVI " + header(places) + bodies[0])
+    return first + b"".join(_riff(b"RIFF", b"AVIX" + b) for b in bodies[1:])
+
+
+def _avi_part(frames: list[np.ndarray], lo: int, hi: int, rate: tuple[int, int], keys: list[bool] | None, audio: Wave | None) -> tuple[bytes, list[tuple[bytes, int, int, bool]]]:
+    """The chunks of frames [lo, hi) with their audio, and (kind, place, size, is_key) of each, counted from the list's kind."""
+    movi, index = [], []
+    at = 4
 
     def put(kind: bytes, body: bytes, key: bool) -> None:
-        nonlocal movi, index
-        index += kind + struct.pack("<III", 0x10 if key else 0, 4 + len(movi), len(body))
-        movi += _riff(kind, body)
+        nonlocal at
+        index.append((kind, at, len(body), key))
+        movi.append(_riff(kind, body))
+        at += len(movi[-1])
 
-    for i, f in enumerate(frames):
-        put(b"00db", dib_encode(f), keys[i] if keys else True)
+    for i in range(lo, hi):
+        put(b"00db", dib_encode(frames[i]), keys[i] if keys else True)
         if audio is not None:
             upto = lambda k: min(len(audio.samples), -(-k * audio.rate * rate[1] // rate[0]))
             part = audio.samples[upto(i) : upto(i + 1) if i + 1 < len(frames) else len(audio.samples)]
             put(b"01wb", part.astype("<i2" if audio.bits == 16 else np.uint8).tobytes(), True)
-    body = b"AVI " + _list(b"hdrl", _riff(b"avih", main) + streams) + _list(b"movi", movi) + _riff(b"idx1", index)
-    return _riff(b"RIFF", body)
+    return b"".join(movi), index
 
 
-def avi_parse(data: bytes, rebuild: bool = False) -> Avi:
-    """Header and chunk index; where the index is missing or damaged, or rebuild is set, the chunks themselves are walked."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
-        raise FormatError("not an AVI")
-    rate, width, height, bits, audio, movi, index = (30, 1), 0, 0, 24, None, (0, 0), b""
-    for kind, at, size in riff_chunks(data, 12, len(data)):
-        what = data[at : at + 4]
-        if kind == b"LIST" and what == b"hdrl":
-            for k, a, s in riff_chunks(data, at + 4, at + size):
-                if k == b"LIST" and data[a : a + 4] == b"strl":
-                    parts = {x: (y, z) for x, y, z in riff_chunks(data, a + 4, a + s)}
-                    head, form = parts[b"strh"][0], parts[b"strf"][0]
-                    if data[head : head + 4] == b"vids":
-                        scale, hz = struct.unpack_from("<II", data, head + 20)
-                        rate = (hz, scale)
-                        width, height, _, bits = struct.unpack_from("<iiHH", data, form + 4)
-                    elif data[head : head + 4] == b"auds":
-                        _, channels, hz, _, _, depth = struct.unpack_from("<HHIIHH", data, form)
-                        audio = (hz, channels, depth)
-        elif kind == b"LIST" and what == b"movi":
-            movi = (at, at + size)
-        elif kind == b"idx1":
-            index = data[at : at + size]
+def _avi_riffs(data: bytes):
+    """(start, end) of what is in each RIFF part; a part whose size makes no sense takes the rest."""
+    at = 0
+    while data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] in (b"AVI ", b"AVIX"):
+        (size,) = struct.unpack_from("<I", data, at + 4)
+        end = at + 8 + size if 4 < size <= len(data) - at - 8 else len(data)
+        if data[end + end % 2 :][:4] not in (b"RIFF", b"") and data[end + end % 2 + 8 :][:4] != b"AVIX":
+            end = len(data)
+        yield at + 12, end
+        at = end + end % 2
+
+
+def _part_chunks(data: bytes, movi: tuple[int, int], index: bytes, rebuild: bool) -> list[Chunk]:
+    """The chunks of a part: by its index, by the indexes within it, or as they lie there."""
     chunks: list[Chunk] = []
     if index and not rebuild:
         for i in range(0, len(index) - 15, 16):
             kind, flags, offset, size = struct.unpack_from("<4sIII", index, i)
             place = movi[0] + offset
             if data[place : place + 4] != kind:
-                chunks = []
-                break
+                return _part_chunks(data, movi, b"", True)
             chunks.append(Chunk(int(kind[:2]), place + 8, size, bool(flags & 0x10)))
-    if not chunks:
-        chunks = [Chunk(int(k[:2]), at, size, True) for k, at, size in riff_chunks(data, movi[0] + 4, movi[1]) if k[:2].isdigit()]
+        return chunks
+    found = list(riff_chunks(data, movi[0] + 4, movi[1]))
+    for kind, at, size in found if not rebuild else ():
+        if kind[:2] == b"ix" and size >= 24:
+            words, _, what, n, name, base, _ = struct.unpack_from("<HBBI4sQI", data, at)
+            for k in range(n if (words, what) == (2, 1) and size >= 24 + 8 * n else 0):
+                place, length = struct.unpack_from("<II", data, at + 24 + 8 * k)
+                if data[base + place - 8 : base + place - 4] != name:
+                    return _part_chunks(data, movi, b"", True)
+                chunks.append(Chunk(int(name[:2]), base + place, length & 0x7FFFFFFF, not length >> 31))
+    return sorted(chunks, key=lambda c: c.offset) or [Chunk(int(k[:2]), at, size, True) for k, at, size in found if k[:2].isdigit()]
+
+
+def avi_parse(data: bytes, rebuild: bool = False) -> Avi:
+    """Header and chunk index of all RIFF parts; where an index is missing or damaged, or rebuild is set, the chunks themselves are walked."""
+    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+        raise FormatError("not an AVI")
+    rate, width, height, bits, audio = (30, 1), 0, 0, 24, None
+    chunks: list[Chunk] = []
+    for start, end in _avi_riffs(data):
+        movi, index = (0, 0), b""
+        for kind, at, size in riff_chunks(data, start, end):
+            what = data[at : at + 4]
+            if kind == b"LIST" and what == b"hdrl":
+                for k, a, s in riff_chunks(data, at + 4, at + size):
+                    if k == b"LIST" and data[a : a + 4] == b"strl":
+                        parts = {x: (y, z) for x, y, z in riff_chunks(data, a + 4, a + s)}
+                        head, form = parts[b"strh"][0], parts[b"strf"][0]
+                        if data[head : head + 4] == b"vids":
+                            scale, hz = struct.unpack_from("<II", data, head + 20)
+                            rate = (hz, scale)
+                            width, height, _, bits = struct.unpack_from("<iiHH", data, form + 4)
+                        elif data[head : head + 4] == b"auds":
+                            _, channels, hz, _, _, depth = struct.unpack_from("<HHIIHH", data, form)
+                            audio = (hz, channels, depth)
+            elif kind == b"LIST" and what == b"movi":
+                movi = (at, at + size)
+            elif kind == b"idx1":
+                index = data[at : at + size]
+        if movi[1]:
+            chunks += _part_chunks(data, movi, index, rebuild)
     return Avi(rate, width, height, bits, audio, chunks)
 
 

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.sources import codecs
@@ -114,13 +114,15 @@ def read_wav(spark: SparkSession, path: str, pattern: str = "*.wav", mode: str =
 
 
 def append(*segments: DataFrame) -> DataFrame:
-    """Segments one after another, frames numbered on."""
-    out, offset = None, 0
-    for s in segments:
-        moved = s.withColumn("frame", F.col("frame") + offset)
-        out = moved if out is None else out.unionByName(moved)
-        offset += (s.agg(F.max("frame").alias("m")).first()["m"] or -1) + 1
-    return out
+    """Segments one after another, frames numbered on from the largest before; an empty one adds nothing."""
+    numbered = [s.withColumn("segment_", F.lit(i)) for i, s in enumerate(segments)]
+    every = numbered[0]
+    for s in numbered[1:]:
+        every = every.unionByName(s)
+    counts = every.groupBy("segment_").agg((F.max("frame") + 1).alias("n_"))  # a row per segment
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("segment_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("segment_", before.alias("before_")))
+    return every.join(starts, "segment_").withColumn("frame", F.col("frame") + F.col("before_")).select(*segments[0].columns)
 
 
 # --- generated -------------------------------------------------------------
@@ -184,10 +186,10 @@ def write_images(frames: DataFrame, folder: str, kind: str = "png", prefix: str
     frames.select("frame", *"rgb").foreachPartition(run)
 
 
-def write_video(frames: DataFrame, folder: str, kind: str = "avi", by: str = "name", size: tuple[int, int] = (8, 8), rate: tuple[int, int] = (30, 1)) -> list[str]:
-    """A file per value of `by`: avi, flm, gif, apng or rgb (raw)."""
+def write_video(frames: DataFrame, folder: str, kind: str = "avi", by: str = "name", size: tuple[int, int] = (8, 8), rate: tuple[int, int] = (30, 1), riff_frames: int | None = None) -> list[str]:
+    """A file per value of `by`: avi (in RIFF parts of riff_frames frames), flm, gif, apng or rgb (raw)."""
     encoders = {
-        "avi": lambda rows: codecs.avi_encode([_image(r, size) for r in rows], rate, [r["is_key"] for r in rows] if "is_key" in rows[0] else None),
+        "avi": lambda rows: codecs.avi_encode([_image(r, size) for r in rows], rate, [r["is_key"] for r in rows] if "is_key" in rows[0] else None, riff_frames=riff_frames),
         "flm": lambda rows: codecs.filmstrip_encode([_image(r, size) for r in rows], rate[0] // rate[1]),
         "gif": lambda rows: codecs.gif_encode([_image(r, size) for r in rows], 100 * rate[1] // rate[0]),
         "apng": lambda rows: codecs.apng_encode([_image(r, size) for r in rows], 100 * rate[1] // rate[0]),
@@ -219,6 +221,50 @@ def stripes(frames: DataFrame, n: int) -> DataFrame:
     return frames.withColumn("stripe", F.pmod("frame", F.lit(n)))
 
 
+def write_segmented(frames: DataFrame, folder: str, most_bytes: int, most_frames: int, size: tuple[int, int] = (8, 8), **how) -> list[str]:
+    """An AVI per segment, name.00.avi and so on, none above most_bytes of frames (as `segments` counts them) or most_frames."""
+    area = size[0] * size[1] * 3
+    cut = segments(frames.withColumn("size_", F.lit(area)), "size_", most_bytes, most_frames, "name")
+    named = cut.withColumn("name", F.concat("name", F.lit("."), F.lpad(F.col("segment").cast("string"), 2, "0")))
+    return write_video(named.drop("segment", "size_"), folder, "avi", size=size, **how)
+
+
+def write_striped(frames: DataFrame, folder: str, n: int, size: tuple[int, int] = (8, 8), **how) -> list[str]:
+    """n AVIs, each with every n-th frame of a name, name.stripe0.avi and so on."""
+    named = stripes(frames, n).withColumn("name", F.concat("name", F.lit(".stripe"), F.col("stripe").cast("string")))
+    return write_video(named.drop("stripe"), folder, "avi", size=size, **how)
+
+
+def read_segmented(spark: SparkSession, path: str, **how) -> DataFrame:
+    """The frames of segments name.00.avi, name.01.avi ... of each name, numbered on."""
+    parts = read_avi(spark, path, "*.*.avi", **how).withColumn("segment_", F.regexp_extract("name", r"\.(\d+)\.avi$", 1).cast("int")).withColumn("name", F.regexp_extract("name", r"^(.*)\.\d+\.avi$", 1))
+    counts = parts.groupBy("name", "segment_").agg((F.max("frame") + 1).alias("n_"))  # a row per file
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("name").orderBy("segment_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("name", "segment_", before.alias("before_"))
+    return parts.join(starts, ["name", "segment_"]).withColumn("frame", F.col("frame") + F.col("before_")).drop("segment_", "before_")
+
+
+def read_striped(spark: SparkSession, path: str, n: int, **how) -> DataFrame:
+    """The frames of n stripes of each name, in turn again."""
+    parts = read_avi(spark, path, "*.stripe*.avi", **how)
+    stripe = F.regexp_extract("name", r"\.stripe(\d+)\.avi$", 1).cast("long")
+    return parts.withColumn("frame", F.col("frame") * n + stripe).withColumn("name", F.regexp_extract("name", r"^(.*)\.stripe\d+\.avi$", 1))
+
+
+def write_raw_audio(samples: DataFrame, folder: str, by: str = "name") -> list[str]:
+    """16-bit little-endian pairs without a header, a file per value of `by`."""
+    return _write_groups(samples, [by], folder, lambda key: f"{key[0]}.pcm", lambda rows: np.array([[r["l"], r["r"]] for r in rows]).astype("<i2").tobytes())
+
+
+def read_raw_audio(spark: SparkSession, path: str, pattern: str = "*.pcm") -> DataFrame:
+    """(name, pos, l, r) of 16-bit little-endian pairs; a rest at the end is no sample."""
+    def decode(name: str, data: bytes):
+        s = np.frombuffer(data[: len(data) // 4 * 4], "<i2").reshape(-1, 2)
+        return zip([name] * len(s), range(len(s)), s[:, 0].tolist(), s[:, 1].tolist(), strict=True)
+
+    return _decoded(_files(spark, path, pattern), decode, SAMPLES, "fail")
+
+
 def write_wav(samples: DataFrame, folder: str, rate: int = 44_100, by: str = "name") -> list[str]:
     return _write_groups(samples, [by], folder, lambda key: f"{key[0]}.wav", lambda rows: codecs.wav_encode(np.array([[r["l"], r["r"]] for r in rows]), rate))
 

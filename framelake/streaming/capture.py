@@ -1,7 +1,9 @@
 """Capture corrections: time stamp repair, frame drop and insert, rate control; the same state machine in batch and streaming.
 
 What to drop depends on how many frames were written before, so each stream is
-followed in order by one state of a few numbers; streams run in parallel.
+followed in order by one state of a few numbers, in one task; streams run in
+parallel. A single endless stream belongs into the streaming form, whose state
+goes from batch to batch.
 """
 
 from __future__ import annotations
@@ -35,29 +37,33 @@ class Resync:
     rate: float
     limit: int = 10
     written: int = 0
+    drops: bool = True
+    inserts: bool = True
 
     def step(self, ts_us: int) -> tuple[str, int]:
         """(keep, drop or insert; how many frames are inserted before this one)."""
         error = ts_us * self.rate / 1e6 - self.written
-        if error < -0.75:
+        if error < -0.75 and self.drops:
             return "drop", 0
-        extra = min(int(error + 0.5), self.limit) if error > 0.75 and self.written > 0 else 0
+        extra = min(int(error + 0.5), self.limit) if error > 0.75 and self.written > 0 and self.inserts else 0
         self.written += 1 + extra
         return ("insert", extra) if extra else ("keep", 0)
 
 
 def _follow(state: Resync, rows: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for r in rows.itertuples(index=False):
-        action, extra = state.step(int(r.ts_us))
-        out.append((r.stream, r.seq, r.ts_us, action, extra, state.written))
-    return pd.DataFrame(out, columns=["stream", "seq", "ts_us", "action", "inserted", "written"])
+    actions, inserted, written = [], [], []
+    for ts_us in rows["ts_us"].to_numpy().tolist():
+        action, extra = state.step(ts_us)
+        actions.append(action)
+        inserted.append(extra)
+        written.append(state.written)
+    return pd.DataFrame({"stream": rows["stream"], "seq": rows["seq"], "ts_us": rows["ts_us"], "action": actions, "inserted": inserted, "written": written})
 
 
-def resync(packets: DataFrame, rate: float, limit: int = 10) -> DataFrame:
-    """Packets (stream, seq, ts_us) with what becomes of each, in order of seq."""
+def resync(packets: DataFrame, rate: float, limit: int = 10, drops: bool = True, inserts: bool = True) -> DataFrame:
+    """Packets (stream, seq, ts_us) with what becomes of each, in order of seq; drops and inserts turn either correction on."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _follow(Resync(rate, limit), rows.sort_values("seq"))
+        return _follow(Resync(rate, limit, 0, drops, inserts), rows.sort_values("seq"))
 
     return packets.select("stream", "seq", "ts_us").groupBy("stream").applyInPandas(run, OUT)
 
@@ -107,6 +113,10 @@ def control(errors: DataFrame, by: str = "stream", order: str = "seq", **setting
     return errors.select(F.col(by).alias("stream"), F.col(order).alias("seq"), "error").groupBy("stream").applyInPandas(run, "stream long, seq long, correction double")
 
 
-def summaries(packets: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Packets and bytes by kind and tumbling window of event time, for batch or stream (ts: time stamp); late rows beyond the watermark are left out."""
-    return packets.withWatermark("ts", late).groupBy(F.window("ts", width), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+def summaries(packets: DataFrame, late: str = "10 minutes", width: str = "1 hour", slide: str | None = None, gap: str | None = None) -> DataFrame:
+    """Packets and bytes by kind and window of event time, for batch or stream (ts: time stamp); late rows beyond the watermark are left out.
+
+    Windows tumble, slide by `slide`, or with `gap` are sessions that so long a silence ends.
+    """
+    windows = F.session_window("ts", gap) if gap else F.window("ts", width, slide)
+    return packets.withWatermark("ts", late).groupBy(windows.alias("window"), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))

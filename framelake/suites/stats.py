@@ -26,7 +26,8 @@ register("agg_channel_cube", lambda s, d: stats.channel_cube(_PX(s, d)), f"WITH
 register("agg_tile_means", lambda s, d: stats.tile_means(_PX(s, d), 4), f"WITH {SQL_PIXELS} SELECT frame, CAST(x // 4 AS BIGINT) AS tx, CAST(y // 4 AS BIGINT) AS ty, {', '.join(f'(sum({c}) + 8)::BIGINT >> 4 AS {c}' for c in 'rgb')} FROM px GROUP BY 1, 2, 3")
 _SCENE = f"""WITH {SQL_PIXELS}, tiles AS (SELECT frame, x // 4 AS tx, y // 4 AS ty, {', '.join(f'(sum({c}) + 8)::BIGINT >> 4 AS {c}' for c in 'rgb')} FROM px GROUP BY 1, 2, 3),
 l AS (SELECT *, (54 * r + 183 * g + 19 * b + 128) >> 8 AS y, (54 * abs(r - lag(r) OVER w) + 183 * abs(g - lag(g) OVER w) + 19 * abs(b - lag(b) OVER w)) >> 8 AS d FROM tiles WINDOW w AS (PARTITION BY tx, ty ORDER BY frame))
-SELECT frame, CAST(coalesce(sum(d), 0) AS BIGINT) AS metric, coalesce(sum(d), 0) > 60 AS is_cut, sqrt(CAST(count(*) * sum(y * y) - sum(y) * sum(y) AS DOUBLE)) < 30 AS is_fade FROM l GROUP BY frame"""
+SELECT frame, metric, is_cut, is_fade, is_fade AND NOT coalesce(lag(is_fade) OVER (ORDER BY frame), false) AS fade_starts FROM (
+SELECT frame, CAST(coalesce(sum(d), 0) AS BIGINT) AS metric, coalesce(sum(d), 0) > 60 AS is_cut, sqrt(CAST(count(*) * sum(y * y) - sum(y) * sum(y) AS DOUBLE)) < 30 AS is_fade FROM l GROUP BY frame)"""
 register("agg_scene_changes", lambda s, d: stats.scene_changes(stats.tile_means(_PX(s, d), 4), 60, 30, 100), _SCENE)
 register("agg_regression", lambda s, d: stats.regression(packets(s, d).withColumns({"x": (F.col("clock_us") % 1_000_000_007).cast("double"), "y": (F.col("ts_us") % 1_000_000_007).cast("double")}), "x", "y", ("user_id",)).select("user_id", "n", F.round("slope", 6).alias("slope")), f"WITH {SQL_PACKETS}, p AS (SELECT user_id, CAST(clock_us % 1000000007 AS DOUBLE) AS x, CAST(ts_us % 1000000007 AS DOUBLE) AS y FROM pkt) SELECT user_id, count(*) AS n, round(CASE WHEN count(*) >= 4 THEN regr_slope(y, x) END, 6) AS slope FROM p GROUP BY user_id")
 register(

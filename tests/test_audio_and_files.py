@@ -191,3 +191,45 @@ def test_controller_settles():
         rate = c.step(error)
         error += rate * 10
     assert abs(error) < 15 and abs(rate) <= c.most
+
+
+@pytest.mark.parametrize("riff_frames", [None, 3, 1])
+def test_avi_in_several_riff_parts(riff_frames):
+    """A file that goes on in AVIX parts is read whole, by its indexes or without them."""
+    images = [np.full((2, 4, 3), 10 * i, np.uint8) for i in range(7)]
+    keys = [i % 3 == 0 for i in range(7)]
+    wave = codecs.Wave(8_000, 2, 16, np.arange(80).reshape(-1, 2))
+    data = codecs.avi_encode(images, (25, 1), keys, wave, riff_frames)
+    assert data.count(b"AVIX") == (0 if riff_frames is None else -(-7 // riff_frames) - 1)
+    for rebuild in (False, True):
+        avi = codecs.avi_parse(data, rebuild)
+        video = [c for c in avi.chunks if c.stream == 0]
+        assert [codecs.avi_frame(data, avi, c)[0, 0, 0] for c in video] == [10 * i for i in range(7)]
+        sound = b"".join(data[c.offset : c.offset + c.size] for c in avi.chunks if c.stream == 1)
+        assert np.frombuffer(sound, "<i2").tolist() == list(range(80))
+        assert [c.is_key for c in video] == (keys if not rebuild else [True] * 7)
+    hurt = data.replace(b"ix00", b"ix0x").replace(b"idx1", b"idxx")
+    assert len([c for c in codecs.avi_parse(hurt).chunks if c.stream == 0]) == 7
+
+
+def test_segments_and_stripes_come_back(spark, tmp_path):
+    rows = [("a" if i < 20 else "b", i % 20, i % 5 == 0, [i] * 64, [2 * i] * 64, [3 * i] * 64) for i in range(33)]
+    frames = spark.createDataFrame(rows, "name string, frame long, is_key boolean, r array<int>, g array<int>, b array<int>")
+    want = sorted((r[0], r[1], r[3][0]) for r in rows)
+    names = files.write_segmented(frames, str(tmp_path / "s"), 10_000, 6)
+    assert len(names) == 4 + 3 and all("." in n for n in names)
+    assert sorted((r["name"], r["frame"], r["r"][0]) for r in files.read_segmented(spark, str(tmp_path / "s")).collect()) == want
+    assert len(files.write_striped(frames, str(tmp_path / "t"), 3)) == 6
+    assert sorted((r["name"], r["frame"], r["r"][0]) for r in files.read_striped(spark, str(tmp_path / "t"), 3).collect()) == want
+
+
+def test_append_after_one_frame_and_after_none(spark):
+    segment = lambda n: spark.range(n).withColumnRenamed("id", "frame")
+    out = files.append(segment(1), segment(2), segment(0), segment(1))
+    assert sorted(r["frame"] for r in out.collect()) == [0, 1, 2, 3]
+
+
+def test_raw_audio_round_trip(spark, tmp_path):
+    samples = spark.createDataFrame([("x", i, i - 5, 100 * i) for i in range(10)], "name string, pos long, l int, r int")
+    files.write_raw_audio(samples, str(tmp_path))
+    assert sorted(tuple(r)[1:] for r in files.read_raw_audio(spark, str(tmp_path)).collect()) == [(i, i - 5, 100 * i) for i in range(10)]

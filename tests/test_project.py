@@ -8,6 +8,7 @@ from framelake.functions.fraction import Fraction
 from framelake.operators import spatial
 from framelake.plans import chain as ch
 from framelake.plans.chain import Chain, Filter, FrameSchema, Stream
+from framelake.plans.timeline import EditList
 from framelake.script.api import Project
 from framelake.script.language import ScriptError
 from framelake.sources import codecs, files
@@ -115,3 +116,19 @@ def test_dependencies(spark):
         at = int(np.floor((i + 0.5) / 2 * 256 + 0.5)) - 128
         a, b = (base[min(max(f, 0), 5)] for f in (at >> 8, (at >> 8) + 1))
         assert (v == a + ((b - a) * (at & 255) + 128 >> 8)).all()
+
+
+def test_direct_mode_finds_keys_however_far_back(spark):
+    frames = spark.range(2_000).select(F.col("id").alias("frame"), F.array(F.lit(0)).alias("r"), F.array(F.lit(0)).alias("g"), F.array(F.lit(0)).alias("b"), F.col("id").isin(0, 100, 1_700).alias("is_key"))
+    p = Project(spark, mode=0)
+    p.open(frames, 1, 1)
+    p.timeline = EditList([(1_500, 10), (1_750, 2)])
+    assert p.shown().spans == [(100, 1_410, False, 0), (1_700, 52, False, 0)]
+
+
+def test_projects_of_one_frame(spark):
+    one = spark.createDataFrame([(0, [1], [2], [3])], "frame long, r array<int>, g array<int>, b array<int>")
+    p = Project(spark)
+    p.open(one, 1, 1)
+    p.append(one)
+    assert len(p.timeline) == 2 and p.result().count() == 2
