@@ -21,7 +21,7 @@ def register(name: str, run: Query, sql: str | None = None) -> None:
 
 
 #: Modules that register queries when they are imported.
-SUITES = ("video", "timeline", "stats", "audio", "io")
+SUITES = ("video", "timeline", "stats", "audio", "io", "relational")
 
 
 def _load() -> None:

@@ -196,6 +196,16 @@ def polyphase_bank(cutoff: float, half: int, phases: int = 256) -> np.ndarray:
     return h / h.sum(axis=1, keepdims=True)
 
 
+def limit(samples: DataFrame, n: int) -> DataFrame:
+    """The first n samples, by position, so that every run gives the same."""
+    return samples.where(F.col("pos") < n)
+
+
+def new_rate(samples: DataFrame, old: int, new: int) -> DataFrame:
+    """The same samples at another rate: (pos, before, seconds, l, r), when each sounded and when it sounds now."""
+    return samples.select("pos", (F.col("pos") / old).alias("before"), (F.col("pos") / new).alias("seconds"), "l", "r")
+
+
 def _bounds(samples: DataFrame, bounds: tuple[int, int] | None) -> tuple[int, int]:
     """First position and number of samples: as given, else counted, which computes what samples are made of."""
     if bounds is None:

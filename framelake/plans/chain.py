@@ -122,6 +122,11 @@ def _never(points: list, frames: tuple[int, int] | None, count: int) -> bool:
     return all(y < 0.5 / 255 for _, y, _ in points)
 
 
+def alias(stream: Stream, model: str) -> Stream:
+    """The same planes said to be of another model; no value changes."""
+    return Stream(stream.frames, replace(stream.schema, model=model))
+
+
 def convert(frames: DataFrame, schema: FrameSchema, model: str) -> DataFrame:
     """The other colour model, by expressions on the planes' arrays."""
     turn = rgb_to_ycbcr if model == "ycbcr" else ycbcr_to_rgb

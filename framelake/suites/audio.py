@@ -39,7 +39,6 @@ def _delayed(s: SparkSession, d: str) -> DataFrame:
 register("a_mix", lambda s, d: audio.mix(samples(s, d), _delayed(s, d)), f"WITH {SQL_SAMPLES} SELECT pos, {', '.join(f'{CLIP(f'coalesce(a.{c}, 0) + coalesce(b.{c}, 0)')} AS {c}' for c in 'lr')} FROM smp a FULL JOIN (SELECT pos + 500 AS pos, l, r FROM smp) b USING (pos)")
 register("a_split_merge", lambda s, d: audio.stereo_merge(*reversed(audio.stereo_split(samples(s, d)))), f"WITH {SQL_SAMPLES} SELECT pos, r AS l, l AS r FROM smp")
 register("a_center_mix", lambda s, d: audio.center_mix(samples(s, d), audio.stereo_split(_delayed(s, d))[0]), f"WITH {SQL_SAMPLES} SELECT a.pos, {CLIP('a.l + b.l')} AS l, {CLIP('a.r + b.l')} AS r FROM smp a JOIN smp b ON a.pos = b.pos + 500")
-register("a_limit", lambda s, d: samples(s, d).where("pos < 4000"), f"WITH {SQL_SAMPLES} SELECT * FROM smp WHERE pos < 4000")
 
 
 def _graph(s: SparkSession, d: str) -> DataFrame:

@@ -37,9 +37,34 @@ def _video(kind: str, read):
     return run
 
 
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    folder = _folder(s)
+    files.write_video(_clips(s, d), folder, riff_frames=30)
+    return _numbered(files.read_avi(s, folder))
+
+
+def _numbered(back: DataFrame) -> DataFrame:
+    return pixels(back.withColumn("frame", F.regexp_extract("name", r"clip(\d+)", 1).cast("long") * 100 + F.col("frame")))
+
+
+def _segmented(s: SparkSession, d: str) -> DataFrame:
+    folder = _folder(s)
+    files.write_segmented(_clips(s, d), folder, 8_000, 30)
+    return _numbered(files.read_segmented(s, folder))
+
+
+def _striped(s: SparkSession, d: str) -> DataFrame:
+    folder = _folder(s)
+    files.write_striped(_clips(s, d), folder, 3)
+    return _numbered(files.read_striped(s, folder, 3))
+
+
 _ALL = f"WITH {SQL_PIXELS} SELECT frame, x, y, r, g, b FROM px"
 register("io_avi", _video("avi", files.read_avi), _ALL)
 register("io_avi_rebuilt_index", _video("avi", lambda s, p: files.read_avi(s, p, rebuild=True)), _ALL)
+register("io_avi_parts", _parts, _ALL)
+register("io_avi_segmented", _segmented, _ALL)
+register("io_avi_striped", _striped, _ALL)
 register("io_filmstrip", _video("flm", files.read_filmstrip), _ALL)
 register("io_raw_video", _video("rgb", lambda s, p: files.read_raw_video(s, p, 8, 8)), _ALL)
 
@@ -72,6 +97,13 @@ def _wav(s: SparkSession, d: str) -> DataFrame:
     return files.read_wav(s, folder).select("pos", "l", "r")
 
 
+def _pcm(s: SparkSession, d: str) -> DataFrame:
+    folder = _folder(s)
+    files.write_raw_audio(samples(s, d).withColumn("name", F.lit("all")), folder)
+    return files.read_raw_audio(s, folder).select("pos", "l", "r")
+
+
+register("io_raw_audio", _pcm, f"WITH {SQL_SAMPLES} SELECT pos, l, r FROM smp")
 register("io_wav", _wav, f"WITH {SQL_SAMPLES} SELECT pos, l, r FROM smp")
 register(
     "io_segments",
@@ -84,6 +116,7 @@ walk(stream, k, frame, size, segment, held, n) AS (
 SELECT stream, frame, size, CAST(segment AS INT) AS segment FROM walk""",
 )
 register("io_stripes", lambda s, d: files.stripes(frames(s, d).select("frame"), 3), "SELECT vec_id AS frame, vec_id % 3 AS stripe FROM embeddings")
+register("io_append_one_frame", lambda s, d: files.append(frames(s, d).where("frame = 0").select("frame"), frames(s, d).select("frame")), "SELECT vec_id + 1 AS frame FROM embeddings UNION ALL SELECT 0")
 register("io_append", lambda s, d: files.append(frames(s, d).select("frame"), frames(s, d).select("frame")), "SELECT vec_id AS frame FROM embeddings UNION ALL SELECT vec_id + (SELECT max(vec_id) + 1 FROM embeddings) FROM embeddings")
 
 

@@ -9,6 +9,7 @@ from framelake.catalog import register
 from framelake.operators import stats
 from framelake.operators.point import invert, levels_table, lookup
 from framelake.plans import timeline as tl
+from framelake.script.api import Project
 from framelake.sources.tables import frames, pixels
 from framelake.suites.video import SQL_PIXELS
 
@@ -19,8 +20,15 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return c.select(F.col("c_custkey").alias("stream"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(200).cast("long"), F.lit(8).cast("long"))).alias("place"))
+    """Every place of every customer's timeline, and one beyond its end; place 0 of those without."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("stream"))
+    n = F.coalesce("n_frames", F.lit(0)).cast("long")
+    return c.join(tl.total_frames(spans(spark, sf_dir)), "stream", "left").select("stream", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("place"))
+
+
+def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame that a customer's spans show, and the ones after their ends."""
+    return spans(spark, sf_dir).select("stream", F.explode(F.sequence("start", F.col("start") + F.col("len"))).alias("frame")).distinct()
 
 
 SQL_SPANS = "tl AS (SELECT o_custkey AS stream, o_orderkey AS ord, o_orderkey * 7 % 1000 AS start, o_orderkey % 20 + 5 AS len, o_orderkey % 7 = 0 AS masked, CAST(o_orderkey % 2 AS INT) AS source FROM orders)"
@@ -36,7 +44,7 @@ register("tl_total_frames", lambda s, d: tl.total_frames(spans(s, d)), f"WITH {S
 register(
     "tl_lookup",
     lambda s, d: tl.lookup(spans(s, d), places(s, d)),
-    f"""WITH {SQL_PLACED}, asked AS (SELECT c_custkey AS stream, CAST(p AS BIGINT) AS place FROM customer, range(0, 201, 8) t(p)),
+    f"""WITH {SQL_PLACED}, asked AS (SELECT stream, unnest(range(0, n + 1)) AS place FROM (SELECT c_custkey AS stream, coalesce(sum(len), 0)::BIGINT AS n FROM customer LEFT JOIN tl ON tl.stream = c_custkey GROUP BY 1)),
 hit AS (SELECT a.stream, a.place, p.* EXCLUDE (stream) FROM asked a LEFT JOIN placed p ON p.stream = a.stream AND a.place >= p.dst0 AND a.place < p.dst0 + p.len),
 held AS (SELECT h.stream, h.place, arg_max(q.start + q.len - 1, q.ord) FILTER (NOT q.masked) AS f, arg_max(q.source, q.ord) FILTER (NOT q.masked) AS s, arg_min(q.start, q.ord) AS f0, arg_min(q.source, q.ord) AS s0
   FROM hit h JOIN placed q ON q.stream = h.stream AND q.ord <= h.ord WHERE h.masked GROUP BY 1, 2)
@@ -45,8 +53,8 @@ SELECT h.stream, h.place, CAST(coalesce(CASE WHEN h.masked THEN coalesce(k.f, k.
 )
 register(
     "tl_reverse_lookup",
-    lambda s, d: tl.reverse_lookup(spans(s, d), places(s, d).withColumnRenamed("place", "frame")),
-    f"""WITH {SQL_PLACED}, asked AS (SELECT c_custkey AS stream, CAST(p AS BIGINT) AS frame FROM customer, range(0, 201, 8) t(p))
+    lambda s, d: tl.reverse_lookup(spans(s, d), wanted(s, d)),
+    f"""WITH {SQL_PLACED}, asked AS (SELECT DISTINCT stream, unnest(range(start, start + len + 1)) AS frame FROM tl)
 SELECT a.stream, a.frame, CAST(coalesce(arg_min(p.dst0 + a.frame - p.start, p.ord), -1) AS BIGINT) AS place FROM asked a LEFT JOIN placed p ON p.stream = a.stream AND a.frame >= p.start AND a.frame < p.start + p.len GROUP BY 1, 2""",
 )
 register(
@@ -95,6 +103,19 @@ register(
     lambda s, d: tl.direct_map(video(s, d).where("frame % 4 <> 1").select("stream", F.row_number().over(tl.Window.partitionBy("stream").orderBy("frame")).alias("frame"), F.col("frame").alias("src")), video(s, d)),
     f"WITH {SQL_VIDEO}, m AS (SELECT stream, CAST(row_number() OVER (ORDER BY frame) AS INT) AS frame, frame AS src FROM vid WHERE frame % 4 <> 1), k AS (SELECT frame, last_value(CASE WHEN is_key THEN frame END IGNORE NULLS) OVER (ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS key FROM vid), j AS (SELECT m.*, k.key, lag(m.src) OVER (ORDER BY m.frame) AS last FROM m JOIN k ON k.frame = m.src) SELECT stream, frame, src, greatest(CASE WHEN last < src AND last >= key THEN last + 1 ELSE key END, key) AS needs FROM j",
 )
+
+
+def _far_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project in direct mode over a long video with a key every 2,000 frames: spans grow back to theirs."""
+    nothing = [F.array().cast("array<int>").alias(c) for c in "rgb"]
+    frames_ = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("frame"), (F.col("o_orderkey") % 2_000 == 0).alias("is_key"), *nothing)
+    project = Project(spark, mode=0)
+    project.open(frames_, 0, 0)
+    project.timeline = tl.EditList([(1_490, 5), (1_200, 3)])
+    return project.frame_map()
+
+
+register("map_direct_far_key", _far_keys, "SELECT i AS place, i AS frame FROM range(0, 1495) t(i) UNION ALL SELECT i + 1495, i FROM range(0, 1203) t(i)")
 register("map_interleave", lambda s, d: tl.interleave(500, 44100 / 29.97, 11025, 64, s), "WITH t AS (SELECT i, ceil((ceil((i + 1) * (44100 / 29.97::DOUBLE)) + 11025) / 64) * 64 AS upto FROM range(0, 500) r(i)) SELECT i AS frame, CAST(upto - coalesce(lag(upto) OVER (ORDER BY i), 0) AS BIGINT) AS samples FROM t")
 
 

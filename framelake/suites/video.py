@@ -380,7 +380,17 @@ _temporal("f_noise_reduction", lambda f: temporal.noise_reduction(f, 90), f"{_SE
 _spatial("f_luma_squish", spatial.luma_squish, f"WITH {SQL_PIXELS} SELECT frame, x, y, {', '.join(f'({c} * 219 + 127) // 255 + 16 AS {c}' for c in 'rgb')} FROM px")
 _spatial("f_vertical_squash", spatial.vertical_squash, f"WITH {SQL_PIXELS} SELECT frame, x, y // 2 AS y, {', '.join(f'CAST((sum({c}) + 1)::BIGINT >> 1 AS INT) AS {c}' for c in 'rgb')} FROM px GROUP BY frame, x, y // 2")
 _spatial("f_draw_text", spatial.draw_text("7:1", 1, 1, (255, 0, 128)), f"WITH {SQL_PIXELS}, lit(x, y) AS (VALUES (1, 1), (2, 1), (3, 1), (3, 2), (2, 3), (2, 4), (2, 5), (6, 2), (6, 4)) SELECT p.frame, p.x, p.y, {', '.join(f'CASE WHEN l.x IS NULL THEN p.{c} ELSE {k} END AS {c}' for c, k in zip('rgb', (255, 0, 128), strict=True))} FROM px p LEFT JOIN lit l ON l.x = p.x AND l.y = p.y")
-register("f_alias_format", lambda s, d: frames(s, d).select("frame", F.lit("ycbcr").alias("model"), "r", "g", "b").select("frame", "model", F.size("r").alias("n")), "SELECT vec_id AS frame, 'ycbcr' AS model, 64 AS n FROM embeddings")
+
+
+def _aliased(spark, sf_dir: str) -> DataFrame:
+    """Planes that are said to be YCbCr, and then converted."""
+    s = chain.alias(chain.Stream(frames(spark, sf_dir).select("frame", "r", "g", "b"), chain.FrameSchema(8, 8)), "ycbcr")
+    return pixels(chain.convert(s.frames, s.schema, "rgb"))
+
+
+_Y = f"{point.INVERSE['601', False][0]} * (r - 16) + 32768"
+_PARTS = [f"{rv} * (b - 128)" for rv in point.INVERSE["601", False][1:2]] + ["({2}) * (b - 128) + ({3}) * (g - 128)".format(*point.INVERSE["601", False]), "{4} * (g - 128)".format(*point.INVERSE["601", False])]
+register("f_alias_format", _aliased, f"WITH {SQL_PIXELS} SELECT frame, x, y, {', '.join(f'CAST({clamp(f'({_Y} + {v}) >> 16')} AS INT) AS {c}' for v, c in zip(_PARTS, 'rgb', strict=True))} FROM px")
 _temporal(
     "f_interpolate",
     lambda f: chain.interpolate(f, f.count(), 1.5),
