@@ -241,7 +241,8 @@ def _sampled(p: np.ndarray, sx: np.ndarray, sy: np.ndarray, mode: str, fill: int
         for dy in range(1 - int(reach), int(reach) + 1):
             for dx in range(1 - int(reach), int(reach) + 1):
                 total = total + kernel(sx - x0 - dx) * kernel(sy - y0 - dy) * take(x0 + dx, y0 + dy)
-        out = clip(np.floor(total + 0.5).astype(np.int64))
+        # Ties don't depend on the order of the sum.
+        out = clip(np.floor(np.round(total, 9) + 0.5).astype(np.int64))
     return out if fill is None else np.where(beyond, fill, out)
 
 

@@ -10,6 +10,7 @@ from framelake.operators import audio
 from framelake.plans.timeline import EditList
 from framelake.sources.tables import SQL_PACKETS, SQL_SAMPLES, packets, samples
 from framelake.streaming import capture
+from framelake.suites import twins
 
 
 def _expr(name: str, make, sql: str) -> None:
@@ -70,8 +71,8 @@ u AS (SELECT pos, l, r, dl & 255 AS fl, dr & 255 AS fr, coalesce(ll[len(ll) - (d
   coalesce(rr[len(rr) - (dr >> 8)], 0) * CASE WHEN len(rr) - (dr >> 8) >= 1 THEN 1 ELSE 0 END AS r1, coalesce(rr[len(rr) - (dr >> 8) + 1], 0) * CASE WHEN len(rr) - (dr >> 8) + 1 >= 1 THEN 1 ELSE 0 END AS r2 FROM t)
 SELECT pos, {', '.join(CLIP(f'{c} + (({c}1 + ((({c}2 - {c}1) * f{c} + 128) >> 8)) >> 1)') + f' AS {c}' for c in 'lr')} FROM u""",
 )
-register("a_resample", lambda s, d: audio.resample(samples(s, d), 1.5, block=3000), None)
-register("a_stretch", lambda s, d: audio.resample(samples(s, d), 0.8), None)
+register("a_resample", lambda s, d: audio.resample(samples(s, d), 1.5, block=3000), twins.resampled("1.5"))
+register("a_stretch", lambda s, d: audio.resample(samples(s, d), 0.8), twins.resampled("0.8"))
 register("a_resample_identity", lambda s, d: audio.resample(samples(s, d), 1.0, block=3000), f"WITH {SQL_SAMPLES} SELECT * FROM smp")
 register("a_center_cut", lambda s, d: audio.center_cut(samples(s, d), block=4096), None)
 register("a_time_stretch", lambda s, d: audio.time_stretch(samples(s, d), 1.25), None)
@@ -107,7 +108,7 @@ walk(stream, k, seq, ts_us, action, inserted, written) AS (
     FROM walk JOIN c ON c.stream = walk.stream AND c.k = walk.k + 1))
 SELECT stream, seq, ts_us, action, CAST(inserted AS INT) AS inserted, written FROM walk WHERE k > 0""",
 )
-register("cap_control", lambda s, d: capture.control(packets(s, d).select(F.col("user_id").alias("stream"), "seq", ((F.col("bytes") % 200 - 100) / 10.0).alias("error"))), None)
+register("cap_control", lambda s, d: capture.control(packets(s, d).select(F.col("user_id").alias("stream"), "seq", ((F.col("bytes") % 200 - 100) / 10.0).alias("error"))).withColumn("correction", F.round("correction", 9)), twins.controlled())
 register(
     "cap_summaries",
     lambda s, d: capture.summaries(s.read.parquet(f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), F.floor(F.col("value") * 10).alias("bytes"))).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "kind", "n", "bytes"),

@@ -10,6 +10,7 @@ from framelake.operators import blend, point, spatial, temporal
 from framelake.plans import chain
 from framelake.plans.kernels import map_frames
 from framelake.sources.tables import SQL_PIXELS, frames, pixels
+from framelake.suites import twins
 
 
 
@@ -231,8 +232,7 @@ _DELTA = "((4 * (" + " + ".join(f"{k} * {_near(0, 0, c)}" for k, c in zip((54, 1
 _spatial("f_box_blur_cubic", spatial.box_blur(1, 3), _cubic_sql())
 _spatial("f_smoother", spatial.smoother(40_000), _smoother_sql(40_000))
 _spatial("f_chroma_smoother", spatial.chroma_smoother, _grid(lambda c: clamp(f"(({_SOFT(c)} + 2) >> 2) + {_DELTA}")))
-_spatial("f_warp_sharp", spatial.warp_sharp(3), None)
-_spatial("f_warp_resize", spatial.warp_resize(16, 12, 2), None, 16)
+_spatial("f_warp_sharp", spatial.warp_sharp(3), twins.warped(3, f"{SQL_PIXELS}, pic AS (SELECT * FROM px)"))
 _spatial("f_reduce2", spatial.reduce2, f"WITH {SQL_PIXELS} SELECT frame, x // 2 AS x, y // 2 AS y, {', '.join(f'CAST((sum({c}) + 2)::BIGINT >> 2 AS INT) AS {c}' for c in 'rgb')} FROM px GROUP BY 1, 2, 3", 4)
 _HQ = lambda c: (
     "CASE WHEN x = 0 OR y = 0 THEN ("
@@ -247,10 +247,10 @@ _spatial("f_flip_vertical", spatial.flip(False), f"WITH {SQL_PIXELS} SELECT fram
 _spatial("f_rotate_left", spatial.rotate("left"), f"WITH {SQL_PIXELS} SELECT frame, y AS x, 7 - x AS y, r, g, b FROM px")
 _spatial("f_rotate_right", spatial.rotate("right"), f"WITH {SQL_PIXELS} SELECT frame, 7 - y AS x, x AS y, r, g, b FROM px")
 _spatial("f_rotate_half", spatial.rotate("half"), f"WITH {SQL_PIXELS} SELECT frame, 7 - x AS x, 7 - y AS y, r, g, b FROM px")
-_spatial("f_rotate_any", spatial.rotate_any(30, "bicubic", (1, 2, 3)), None)
+_spatial("f_rotate_any", spatial.rotate_any(30, "bicubic", (1, 2, 3)), twins.rotated(30, (1, 2, 3)))
 _spatial("f_rotate_any_right_angle", spatial.rotate_any(90, "point"), f"WITH {SQL_PIXELS} SELECT frame, y AS x, 7 - x AS y, r, g, b FROM px")
 _spatial("f_perspective_identity", spatial.perspective([(-0.5, -0.5), (7.5, -0.5), (-0.5, 7.5), (7.5, 7.5)], 8, 8), f"WITH {SQL_PIXELS} SELECT frame, x, y, r, g, b FROM px")
-_spatial("f_perspective", spatial.perspective([(0, 0), (7, 1), (1, 7), (6, 6)], 8, 8), None)
+_spatial("f_perspective", spatial.perspective([(0, 0), (7, 1), (1, 7), (6, 6)], 8, 8), twins.in_perspective([(0, 0), (7, 1), (1, 7), (6, 6)]))
 _spatial("f_field_swap", spatial.field_swap, f"WITH {SQL_PIXELS} SELECT frame, x, xor(y, 1) AS y, r, g, b FROM px")
 _spatial("f_crop", spatial.crop(1, 2, 3, 1), f"WITH {SQL_PIXELS} SELECT frame, x - 1 AS x, y - 2 AS y, r, g, b FROM px WHERE x BETWEEN 1 AND 4 AND y BETWEEN 2 AND 6", 4)
 _spatial(
@@ -261,8 +261,8 @@ _spatial(
 )
 
 
-def _resize_sql(kernel: str, reach: float, widens: bool) -> str:
-    """Separable resampling to 12 x 6: weights in 1/16384 from the kernel of t, the largest taking what rounding left."""
+def _resize_sql(kernel: str, reach: float, widens: bool, width: int = 12, height: int = 6) -> str:
+    """Separable resampling: weights in 1/16384 from the kernel of t, the largest taking what rounding left."""
     def weights(source: int, target: int) -> str:
         scale = max(1.0, source / target) if widens else 1.0
         span = int(-(-reach * scale // 1)) + 1
@@ -276,7 +276,7 @@ def _resize_sql(kernel: str, reach: float, widens: bool) -> str:
 
     rows = ", ".join(f"greatest(0, least(255, (sum(p.{c} * w.w)::BIGINT + 8192) >> 14)) AS {c}" for c in "rgb")
     return (
-        f"WITH {SQL_PIXELS}, wx AS ({weights(8, 12)}), wy AS ({weights(8, 6)}), h AS (SELECT p.frame, w.o AS x, p.y, {rows} FROM px p JOIN wx w ON w.i = p.x GROUP BY 1, 2, 3) "
+        f"WITH {SQL_PIXELS}, wx AS ({weights(8, width)}), wy AS ({weights(8, height)}), h AS (SELECT p.frame, w.o AS x, p.y, {rows} FROM px p JOIN wx w ON w.i = p.x GROUP BY 1, 2, 3) "
         f"SELECT p.frame, CAST(p.x AS INT) AS x, CAST(w.o AS INT) AS y, {', '.join(f'CAST(greatest(0, least(255, (sum(p.{c} * w.w)::BIGINT + 8192) >> 14)) AS INT) AS {c}' for c in 'rgb')} FROM h p JOIN wy w ON w.i = p.y GROUP BY 1, 2, 3"
     )
 
@@ -287,7 +287,7 @@ def _cubic_kernel(a: str) -> str:
 
 _SINC = lambda v: f"CASE WHEN {v} = 0 THEN 1 ELSE sin(pi() * {v}) / (pi() * {v}) END"
 _RESIZE_SQL = {
-    "nearest": None,
+    "nearest": f"WITH {SQL_PIXELS} SELECT p.frame, CAST(a.o AS INT) AS x, CAST(b.o AS INT) AS y, p.r, p.g, p.b FROM px p JOIN range(0, 12) a(o) ON p.x = least(7, floor((a.o + 0.5) * 8 / 12)) JOIN range(0, 6) b(o) ON p.y = least(7, floor((b.o + 0.5) * 8 / 6))",
     "bilinear": _resize_sql("greatest(0, 1 - t)", 1, False),
     "bicubic": _resize_sql(_cubic_kernel("-0.75::DOUBLE"), 2, False),
     "precise_bilinear": _resize_sql("greatest(0, 1 - t)", 1, True),
@@ -299,9 +299,14 @@ _RESIZE_SQL = {
 for _mode in spatial.RESIZE:
     _spatial(f"f_resize_{_mode}", spatial.resize(12, 6, _mode), _RESIZE_SQL[_mode], 12)
 _spatial("f_resize_nearest_double", spatial.resize(16, 16, "nearest"), f"WITH {SQL_PIXELS} SELECT frame, CAST(x * 2 + dx AS INT) AS x, CAST(y * 2 + dy AS INT) AS y, r, g, b FROM px, range(0, 2) a(dx), range(0, 2) b(dy)", 16)
-_spatial("f_hsv_identity", spatial.hsv(0), None)
+_spatial("f_hsv_identity", spatial.hsv(0), f"WITH {SQL_PIXELS} SELECT frame, x, y, r, g, b FROM px")
+_spatial("f_hsv_brighter", spatial.hsv(-90, 320, 60), twins.hsv(-90, 320, 60))
+_spatial("f_hsv_darker", spatial.hsv(700, 200, -40), twins.hsv(700, 200, -40))
 _spatial("f_hsv_black", spatial.hsv(0, 256, -256), f"WITH {SQL_PIXELS} SELECT frame, x, y, 0 AS r, 0 AS g, 0 AS b FROM px")
-_spatial("f_hsv_third_turn", spatial.hsv(512), None)
+_spatial("f_hsv_third_turn", spatial.hsv(512), twins.hsv(512, 256, 0))
+_GROWN = _resize_sql("greatest(0, 1 - t)", 1, True, 16, 12).removeprefix("WITH ")
+_ctes, _, _final = _GROWN.rpartition(") SELECT ")
+_spatial("f_warp_resize", spatial.warp_resize(16, 12, 2), twins.warped(2, f"{_ctes}), pic AS (SELECT {_final})", 16, 12), 16)
 
 # --- time ------------------------------------------------------------------
 
@@ -365,8 +370,8 @@ _temporal("f_deinterlace_duplicate", lambda f: map_frames(f, temporal.field_dupl
 _temporal("f_deinterlace_discard", lambda f: map_frames(f, temporal.field_discard), f"WITH {SQL_PIXELS} SELECT frame, x, y // 2 AS y, r, g, b FROM px WHERE y % 2 = 0")
 _temporal("f_deinterlace_unfold", lambda f: map_frames(f, temporal.unfold), f"WITH {SQL_PIXELS} SELECT frame, x + 8 * (y % 2) AS x, y // 2 AS y, r, g, b FROM px", 16)
 _temporal("f_deinterlace_fold", lambda f: map_frames(map_frames(f, temporal.unfold), temporal.fold, (16, 4)), f"WITH {SQL_PIXELS} SELECT frame, x, y, r, g, b FROM px")
-_temporal("f_deinterlace_ela", lambda f: map_frames(f, temporal.edge_line_average), None)
-_temporal("f_deinterlace_yadif", temporal.yadif, None)
+_temporal("f_deinterlace_ela", lambda f: map_frames(f, temporal.edge_line_average), twins.edge_lines())
+_temporal("f_deinterlace_yadif", temporal.yadif, twins.yadif())
 _temporal("f_ivtc", lambda f: temporal.inverse_telecine(f.select("frame", "r", "g", "b"), 2), f"WITH {SQL_PIXELS} SELECT frame // 5 * 4 + frame % 5 - CASE WHEN frame % 5 > 2 THEN 1 ELSE 0 END AS frame, x, y, r, g, b FROM px WHERE frame % 5 <> 2")
 _temporal(
     "f_field_bob",
