@@ -41,7 +41,8 @@ class Filter:
     """A video filter: what it takes and makes of a schema, and how it runs.
 
     kernel works on planes of whole batches; needs, with combine, on the frames
-    that it names for each output frame, as (input, frame) pairs.
+    that it names for each output frame, as (input, frame) pairs; frames on the
+    whole stream.
     """
 
     name: str
@@ -51,6 +52,7 @@ class Filter:
     needs: Callable[[int], list[tuple[str, int]]] | None = None
     combine: Callable[[list[Planes]], Planes] | None = None
     terminal: bool = False
+    frames: Callable[[DataFrame, tuple[int, int]], DataFrame] | None = None  # over time, from frames and their size
 
 
 @dataclass
@@ -138,6 +140,8 @@ def convert(frames: DataFrame, schema: FrameSchema, model: str) -> DataFrame:
 def _apply(filter_: Filter, ins: list[Stream], after: FrameSchema) -> DataFrame:
     first = ins[0]
     size = (first.schema.width, first.schema.height)
+    if filter_.frames:
+        return filter_.frames(first.frames.select("frame", *PLANES), size).select("frame", *PLANES)
     if filter_.needs is None:
         return map_frames(first.frames.select("frame", *PLANES), filter_.kernel, size)
     return by_dependencies(filter_, {f"${i}": s for i, s in enumerate(ins)}, after.count, size)

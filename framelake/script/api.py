@@ -20,26 +20,11 @@ from framelake.plans import timeline as tl
 from framelake.plans.chain import Chain, Entry, Filter, FrameSchema, Stream
 from framelake.plans.kernels import PLANES
 from framelake.plans.timeline import EditList
+from framelake.script import sound
+from framelake.script.filters import FILTERS
 from framelake.script.language import Function, Interpreter, ScriptError
 from framelake.sources import files
 
-#: Filters that a script can add: name -> (argument types of Config, how to build one).
-FILTERS = {
-    "invert": ("", lambda: Filter("invert", lambda p: {k: 255 - v for k, v in p.items()}, ("rgb", "ycbcr"))),
-    "blur": ("", lambda: Filter("blur", spatial.blur)),
-    "blur more": ("", lambda: Filter("blur more", spatial.blur_more)),
-    "box blur": ("ii", lambda r=1, power=1: Filter("box blur", spatial.box_blur(r, power))),
-    "sharpen": ("i", lambda k=16: Filter("sharpen", spatial.sharpen(k))),
-    "general convolution": ("iiiiiiiiiii", lambda *a: Filter("general convolution", spatial.convolution(list(a[:9]) or [0, 0, 0, 0, 256, 0, 0, 0, 0], a[9] if len(a) > 9 else 0))),
-    "flip horizontally": ("", lambda: Filter("flip horizontally", spatial.flip(True))),
-    "flip vertically": ("", lambda: Filter("flip vertically", spatial.flip(False))),
-    "field swap": ("", lambda: Filter("field swap", spatial.field_swap)),
-    "2:1 reduction": ("", lambda: Filter("2:1 reduction", spatial.reduce2, output=lambda s: FrameSchema(s.width // 2, s.height // 2, s.model, s.rate, s.count))),
-    "resize": ("iis", lambda w=8, h=8, mode="precise_bicubic_075": Filter("resize", spatial.resize(w, h, mode), output=lambda s: FrameSchema(w, h, s.model, s.rate, s.count))),
-    "null transform": ("", lambda: Filter("null transform", lambda p: p, ("rgb", "ycbcr"))),
-}
-
-
 def _length(frames: DataFrame) -> int:
     last = frames.agg(F.max("frame").alias("m")).first()["m"]
     return 0 if last is None else last + 1
@@ -58,6 +43,8 @@ class Project:
     mode: int = 3  # 0 direct copy, 1 fast recompress, 2 normal recompress, 3 full processing
     log: list[str] = field(default_factory=list)
     info: dict[str, str] = field(default_factory=dict)
+    audio: sound.Audio = field(default_factory=sound.Audio)
+    params: list[str] = field(default_factory=list)
 
     def open(self, frames: DataFrame, width: int, height: int, rate: Fraction = Fraction(30)) -> None:
         """frames: (frame, r, g, b[, is_key]) without gaps from 0."""
@@ -115,7 +102,7 @@ class Project:
         """
         chosen = self.frame_map()
         source = self.source
-        if all(e.filter.needs is None for e in self.chain):  # frames that don't show needn't be filtered
+        if all(e.filter.needs is None and e.filter.frames is None for e in self.chain):  # frames that don't show needn't be filtered
             source = Stream(source.frames.join(chosen.select("frame").distinct(), "frame", "left_semi"), source.schema)
         done = source if self.mode == 0 else Chain(self.chain).run(source)
         return chosen.join(done.frames.select("frame", *PLANES), "frame").select(F.col("place").alias("frame"), *PLANES)
@@ -128,6 +115,56 @@ class Project:
         s = self.schema()
         files.write_images(self.result(), folder, kind, size=(s.width, s.height))
 
+    def _named(self, name: str) -> tuple[DataFrame, dict]:
+        s, rate = self.schema(), self.rate or self.source.schema.rate
+        return self.result().withColumn("name", F.lit(name)), {"size": (s.width, s.height), "rate": (rate.hi, rate.lo)}
+
+    def save_video(self, folder: str, kind: str, name: str = "out") -> list[str]:
+        """rgb (raw), gif, apng or flm."""
+        frames, how = self._named(name)
+        return files.write_video(frames, folder, kind, **how)
+
+    def save_segmented(self, folder: str, megabytes: int, most_frames: int, name: str = "out") -> list[str]:
+        frames, how = self._named(name)
+        return files.write_segmented(frames, folder, megabytes << 20, most_frames or 1 << 31, **how)
+
+    def save_striped(self, folder: str, n: int, name: str = "out") -> list[str]:
+        frames, how = self._named(name)
+        return files.write_striped(frames, folder, n, **how)
+
+    def sounds(self) -> sound.Sound:
+        """The sound as it is saved; the timeline's selected part cuts it."""
+        start, end = self.selection() if self.source else (0, 0)
+        part = self.timeline.clip(start, max(0, end - start)) if self.source else EditList()
+        return self.audio.result(part, self.source.schema.rate.as_float() if self.source else 1.0)
+
+    def save_wav(self, folder: str, name: str = "out") -> list[str]:
+        out = self.sounds()
+        return files.write_wav(out.samples.withColumn("name", F.lit(name)), folder, out.rate)
+
+    def save_raw_audio(self, folder: str, name: str = "out") -> list[str]:
+        return files.write_raw_audio(self.sounds().samples.withColumn("name", F.lit(name)), folder)
+
+    def open_file(self, path: str) -> None:
+        """An AVI, filmstrip or folder of images; its frames become the source."""
+        frames = self._read(path)
+        size = frames.select("w", "h").first()
+        if size is None:
+            raise ScriptError(f"there are no frames in {path}")
+        self.open(frames.select("frame", *PLANES, "is_key"), size["w"], size["h"])
+
+    def append_file(self, path: str) -> None:
+        self.append(self._read(path))
+
+    def _read(self, path: str) -> DataFrame:
+        kind = path.rsplit(".", 1)[-1].lower()
+        if kind == "avi":
+            return files.read_avi(self.spark, path)
+        return files.read_filmstrip(self.spark, path) if kind == "flm" else files.read_images(self.spark, path)
+
+    def close(self) -> None:
+        self.source, self.keys, self.timeline = None, None, EditList()
+
     def run_null(self) -> None:
         files.run_null(self.result())
 
@@ -212,6 +249,7 @@ def application(project: Project) -> Object:
             "SetRange": [("0", lambda: _set(project, range_ms=None, range_frames=None)), ("0ii", lambda a, b: _set(project, range_ms=(a, b), range_frames=None))],
             "SetRangeFrames": [("0ii", lambda a, b: _set(project, range_frames=(a, b)))],
             "GetRange": [("ii", lambda i: project.selection()[i])],
+            "GetFrameRate": [("d", lambda: (project.rate or project.source.schema.rate).as_float())],
             "SetFrameRate2": [("0iii", lambda hi, lo, _: _set(project, rate=Fraction(hi, lo) if hi else None))],
             "ValidateFrames": [("0.", validate)],
             "IsKeyFrame": [("il", lambda f: project.keys is None or bool(project.keys.where(F.col("frame") == int(f)).where("is_key").limit(1).count()))],
@@ -232,11 +270,24 @@ def application(project: Project) -> Object:
     return Object(
         {
             "SaveAVI": [("0s", lambda folder: project.save_avi(folder))],
+            "SaveCompatibleAVI": [("0s", lambda folder: project.save_avi(folder))],
+            "SaveSegmentedAVI": [("0sii", lambda folder, megabytes, n: project.save_segmented(folder, megabytes, n))],
+            "SaveStripedAVI": [("0si", lambda folder, n: project.save_striped(folder, n))],
             "SaveImageSequence": [("0ss", project.save_images)],
+            "SaveRawVideo": [("0s", lambda folder: project.save_video(folder, "rgb"))],
+            "SaveAnimatedGIF": [("0s", lambda folder: project.save_video(folder, "gif"))],
+            "SaveAnimatedPNG": [("0s", lambda folder: project.save_video(folder, "apng"))],
+            "SaveWAV": [("0s", lambda folder: project.save_wav(folder))],
+            "SaveAudio": [("0s", lambda folder: project.save_wav(folder))],
+            "SaveRawAudio": [("0s", lambda folder: project.save_raw_audio(folder))],
+            "Open": [("0s", project.open_file)],
+            "Append": [("0s", project.append_file)],
+            "Close": [("0", project.close)],
+            "Preview": [("0", project.run_null)],
             "RunNullVideoPass": [("0", project.run_null)],
             "Log": [("0s", project.log.append)],
             "SetStatus": [("0s", project.log.append)],
             "Exit": [("0i", lambda code: None)],
         },
-        {"video": lambda: video, "subset": lambda: subset, "project": lambda: Object({"AddTextInfo": [("0ss", project.info.__setitem__)], "ClearTextInfo": [("0", project.info.clear)]})},
+        {"version": lambda: "framelake", "video": lambda: video, "audio": lambda: sound.objects(project.audio, Object), "params": lambda: Object({"[]": [("si", lambda i: project.params[i])]}), "subset": lambda: subset, "project": lambda: Object({"AddTextInfo": [("0ss", project.info.__setitem__)], "ClearTextInfo": [("0", project.info.clear)]})},
     )

@@ -132,3 +132,76 @@ def test_projects_of_one_frame(spark):
     p.open(one, 1, 1)
     p.append(one)
     assert len(p.timeline) == 2 and p.result().count() == 2
+
+
+def _numbers(spark, n=40):
+    return spark.range(n).select("id", *(F.array(*((F.col("id") * k + i).cast("int") % 256 for i in range(32))).alias(c) for k, c in ((1, "r"), (2, "g"), (3, "b")))).withColumnRenamed("id", "frame")
+
+
+def test_every_filter_can_be_added_and_runs(spark):
+    """Each by its default settings, on its own: the frame has the size that its schema says."""
+    from framelake.script.filters import FILTERS
+
+    frames = _numbers(spark, 10).cache()
+    for name in FILTERS:
+        p = Project(spark)
+        p.open(frames, 8, 4)
+        p.run_script(f'app.video.filters.Add("{name}");')
+        s = Chain(p.chain).run(p.source).schema
+        done = Chain(p.chain).run(p.source).frames
+        sizes = {(len(r["r"]), len(r["b"])) for r in done.collect()}
+        want = s.width * s.height
+        assert sizes == {(want, want)}, name
+        assert done.count() == s.count, name
+
+
+def test_configured_filters(spark):
+    p = Project(spark)
+    p.open(_numbers(spark), 8, 4)
+    p.run_script('app.video.filters.Add("threshold"); app.video.filters.instance[0].Config(100); app.video.filters.Add("levels"); app.video.filters.instance[1].Config(0, 65535, 16777216, 65535, 0);')
+    for r in p.result().collect():
+        for i in range(32):
+            rgb = [(r["frame"] * k + i) % 256 for k in (1, 2, 3)]
+            assert r["r"][i] == (0 if 54 * rgb[0] + 183 * rgb[1] + 19 * rgb[2] >= 25600 else 255)
+
+
+def test_sound_through_a_script(spark, tmp_path):
+    from framelake.script.sound import Sound
+
+    samples = spark.range(1000).selectExpr("id AS pos", "CAST(id * 10 AS INT) AS l", "CAST(-id AS INT) AS r")
+    p = Project(spark)
+    p.open(_numbers(spark, 20), 8, 4, Fraction(10))
+    p.audio.source = Sound(samples, 500)
+    p.timeline = EditList([(10, 5), (0, 2)])
+    script = """
+        app.audio.SetMode(1); app.audio.SetVolume(512); app.audio.EnableFilterGraph(1);
+        declare i;
+        app.audio.filters.Add("input"); app.audio.filters.Add("stereo split"); app.audio.filters.Add("gain");
+        app.audio.filters.Add("stereo merge"); app.audio.filters.Add("output");
+        app.audio.filters.Connect(0, 0, 1, 0); app.audio.filters.Connect(1, 1, 2, 0); app.audio.filters.Connect(1, 0, 3, 0);
+        app.audio.filters.Connect(2, 0, 3, 1); app.audio.filters.Connect(3, 0, 4, 0);
+        app.audio.filters.instance[2].SetDouble(0, 3.0);
+    """
+    p.run_script("\n".join(x for x in script.splitlines() if "declare" not in x))
+    got = sorted((r["pos"], r["l"], r["r"]) for r in p.sounds().samples.collect())
+    source = [*range(500, 750), *range(0, 100)]
+    assert got == [(i, 20 * s, -6 * s) for i, s in enumerate(source)]
+    p.run_script(f'app.SaveWAV("{tmp_path}/w"); app.SaveRawAudio("{tmp_path}/r");')
+    assert files.read_wav(spark, str(tmp_path / "w")).count() == files.read_raw_audio(spark, str(tmp_path / "r")).count() == 350
+    with pytest.raises(ScriptError):
+        p.run_script('app.audio.filters.Connect(4, 0, 1, 0);')
+    with pytest.raises(ScriptError):
+        p.run_script('app.audio.filters.Add("no such");')
+
+
+def test_saving_and_opening_through_a_script(spark, tmp_path):
+    p = Project(spark)
+    p.open(_numbers(spark, 12), 8, 4)
+    p.run_script(f'app.SaveSegmentedAVI("{tmp_path}/s", 1, 5); app.SaveStripedAVI("{tmp_path}/t", 2); app.SaveRawVideo("{tmp_path}/v"); app.SaveAVI("{tmp_path}/a");')
+    assert files.read_segmented(spark, str(tmp_path / "s")).count() == files.read_striped(spark, str(tmp_path / "t"), 2).count() == files.read_raw_video(spark, str(tmp_path / "v"), 8, 4).count() == 12
+    q = Project(spark)
+    q.run_script(f'app.Open("{tmp_path}/a/out.avi"); app.Append("{tmp_path}/a/out.avi");')
+    rows = {r["frame"]: r["g"] for r in q.result().collect()}
+    assert len(rows) == 24 and rows[3] == rows[15] == [(6 + i) % 256 for i in range(32)]
+    q.run_script("app.Close();")
+    assert q.source is None
