@@ -12,8 +12,9 @@ in whole multiples. Where best fit of everything needs fewer sequences than the
 rounded program, it is the plan.
 
 The plan says, for each length and rank among equals, which sequence and place
-it gets. Ranks come from a window over (length, bucket), so that a length that a
-third of all pieces have is still ranked in many tasks.
+it gets. Ranks come from windows over (length, bucket). A length of n pieces has
+sqrt(n) buckets, so that neither a bucket nor the list of a length's buckets is
+large, and a length that a third of all pieces have is ranked in many tasks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from framelake.llm.wordpiece import encode, slices
 from framelake.llm.workspace import settle
 
-BUCKET_ROWS = 50_000
 #: A configuration that leaves no room is preferred to the best if it is worth this share of it.
 NEARLY = 0.98
 #: A round uses a configuration for at most this part of all sequences.
@@ -191,8 +191,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", or
     pieces = settle(pieces, "pieces")
     histogram = {r[length_col]: r["n"] for r in pieces.groupBy(length_col).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     plan = plan_sequences(histogram, capacity)
-    buckets = max(1, sum(histogram.values()) // BUCKET_ROWS)
-    dealt = pieces.withColumn("bucket_", F.pmod(F.xxhash64(*order_by), F.lit(buckets)))
+    counts = pieces.sparkSession.createDataFrame([(int(k), int(n**0.5) + 1) for k, n in histogram.items()], "l_ long, buckets_ long")  # at most `capacity` rows
+    dealt = pieces.join(F.broadcast(counts), F.col(length_col) == F.col("l_")).drop("l_").withColumn("bucket_", F.pmod(F.xxhash64(*order_by), F.col("buckets_"))).drop("buckets_")
     sums = dealt.groupBy(length_col, "bucket_").agg(F.count(F.lit(1)).alias("n_"))
     before = F.sum("n_").over(Window.partitionBy(length_col).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select(length_col, "bucket_", F.coalesce(before, F.lit(0)).alias("before_"))
