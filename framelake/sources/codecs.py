@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from typing import NamedTuple
 
@@ -166,17 +167,26 @@ DECODERS = {"png": png_decode, "bmp": bmp_decode, "tga": tga_decode}
 ENCODERS = {"png": png_encode, "bmp": bmp_encode, "tga": tga_encode}
 
 
+W64_RIFF, W64_WAVE = (uuid.UUID(x).bytes_le for x in ("66666972-912e-11cf-a5d6-28db04c10000", "65766177-acf3-11d3-8cd1-00c04f8edb8a"))
+
+#: Kinds of files with how sure their first (or last) bytes make it, from 0 to 1; the surest is taken.
+SIGNS = {
+    "png": lambda d: 1.0 * d.startswith(PNG_MAGIC),
+    "jpg": lambda d: 0.9 * d.startswith(b"\xff\xd8\xff"),
+    "bmp": lambda d: (0.8 if len(d) > 18 and d[14:18] in (b"\x28\0\0\0", b"\x6c\0\0\0", b"\x7c\0\0\0") else 0.3) * (d[:2] == b"BM"),
+    "avi": lambda d: 1.0 * (d[:4] == b"RIFF" and d[8:12] == b"AVI "),
+    "wav": lambda d: 1.0 * (d[:4] == b"RIFF" and d[8:12] == b"WAVE"),
+    "w64": lambda d: 1.0 * (d[:16] == W64_RIFF and d[24:40] == W64_WAVE),
+    "riff": lambda d: 0.2 * (d[:4] == b"RIFF"),
+    "gif": lambda d: 1.0 * (d[:4] == b"GIF8"),
+    "filmstrip": lambda d: 0.9 * (d[-36:-32] == b"Rand"),
+}
+
+
 def sniff(data: bytes) -> str:
-    """What a file is, by its first bytes."""
-    if data.startswith(PNG_MAGIC):
-        return "png"
-    if data[:2] == b"BM":
-        return "bmp"
-    if data[:4] == b"RIFF":
-        return {b"AVI ": "avi", b"WAVE": "wav"}.get(data[8:12], "riff")
-    if data[:4] == b"GIF8":
-        return "gif"
-    return "filmstrip" if data[-36:-32] == b"Rand" else "unknown"
+    """What a file is, by its content."""
+    sure, kind = max(((sign(data), kind) for kind, sign in SIGNS.items()), key=lambda x: x[0])
+    return kind if sure > 0 else "unknown"
 
 
 def gif_encode(frames: list[np.ndarray], delay: int = 10) -> bytes:
@@ -286,11 +296,33 @@ def riff_chunks(data: bytes, at: int, end: int):
         at += 8 + size + size % 2
 
 
+def _w64_chunks(data: bytes):
+    """(first four bytes of the id, first byte, size) of a Wave64 file's chunks, which lie at multiples of eight."""
+    at = 40
+    while at + 24 <= len(data):
+        (size,) = struct.unpack_from("<Q", data, at + 16)
+        if size < 24:
+            return
+        yield data[at : at + 4], at + 24, min(size - 24, len(data) - at - 24)
+        at += (size + 7) // 8 * 8
+
+
+def w64_encode(samples: np.ndarray, rate: int, bits: int = 16) -> bytes:
+    """The same sound as `wav_encode` writes, with 64-bit sizes."""
+    plain = wav_encode(samples, rate, bits)
+    tail = bytes.fromhex("f3acd3118cd100c04f8edb8a")  # of the ids of chunks
+    part = lambda name, body: name + tail + struct.pack("<Q", 24 + len(body)) + body + b"\0" * (-len(body) % 8)
+    body = W64_WAVE + part(b"fmt ", plain[20:36]) + part(b"data", plain[44:])
+    return W64_RIFF + struct.pack("<Q", 24 + len(body)) + body
+
+
 def wav_decode(data: bytes) -> Wave:
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+    """8- or 16-bit PCM of a WAV or Wave64 file."""
+    long = data[:16] == W64_RIFF and data[24:40] == W64_WAVE
+    if not long and (data[:4] != b"RIFF" or data[8:12] != b"WAVE"):
         raise FormatError("not a WAV")
     form = body = None
-    for kind, at, size in riff_chunks(data, 12, len(data)):
+    for kind, at, size in _w64_chunks(data) if long else riff_chunks(data, 12, len(data)):
         if kind == b"fmt ":
             form = struct.unpack_from("<HHIIHH", data, at)
         elif kind == b"data":
@@ -335,6 +367,7 @@ class Avi(NamedTuple):
     bits: int
     audio: tuple[int, int, int] | None  # rate, channels, bits
     chunks: list[Chunk]
+    codec: bytes = b"\0\0\0\0"
 
 
 def _list(kind: bytes, body: bytes) -> bytes:
@@ -345,20 +378,24 @@ def _riff(kind: bytes, body: bytes) -> bytes:
     return kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
 
 
-def avi_encode(frames: list[np.ndarray], rate: tuple[int, int] = (30, 1), keys: list[bool] | None = None, audio: Wave | None = None, riff_frames: int | None = None) -> bytes:
-    """Uncompressed frames, each followed by its share of the audio, and an index.
+def avi_encode(frames: list[np.ndarray], rate: tuple[int, int] = (30, 1), keys: list[bool] | None = None, audio: Wave | None = None, riff_frames: int | None = None, codec: bytes = b"DIB ") -> bytes:
+    """Frames, uncompressed or by codec MJPG or YUY2, each followed by its share of the audio, and an index.
 
     With more than riff_frames frames the file goes on in further RIFF parts, each
     with an index of its chunks per stream, all of them named in the header.
     """
     h, w, _ = frames[0].shape
-    size = len(dib_encode(frames[0]))
+    encode = _frame_encoder(codec)
+    size = len(encode(frames[0]))
     per = riff_frames or len(frames)
-    parts = [_avi_part(frames, lo, min(len(frames), lo + per), rate, keys, audio) for lo in range(0, len(frames), per)]
+    parts = [_avi_part(frames, lo, min(len(frames), lo + per), rate, keys, audio, encode) for lo in range(0, len(frames), per)]
     several = len(parts) > 1
     main = struct.pack("<14I", 10**6 * rate[1] // rate[0], size * rate[0] // rate[1], 0, 0x10, min(per, len(frames)), 0, 1 + (audio is not None), size, w, h, 0, 0, 0, 0)
-    video = struct.pack("<4s4sIHHIIIIIIiI4H", b"vids", b"DIB ", 0, 0, 0, 0, rate[1], rate[0], 0, len(frames), size, -1, 0, 0, 0, w, h)
-    heads = [_riff(b"strh", video) + _riff(b"strf", _dib_header(w, h, size))]
+    video = struct.pack("<4s4sIHHIIIIIIiI4H", b"vids", codec, 0, 0, 0, 0, rate[1], rate[0], 0, len(frames), size, -1, 0, 0, 0, w, h)
+    form = _dib_header(w, h, size)
+    if codec != b"DIB ":
+        form = form[:14] + struct.pack("<H", 16 if codec == b"YUY2" else 24) + codec + form[20:]
+    heads = [_riff(b"strh", video) + _riff(b"strf", form)]
     if audio is not None:
         block = audio.channels * audio.bits // 8
         head = struct.pack("<4s4sIHHIIIIIIiI4H", b"auds", b"\0\0\0\0", 0, 0, 0, 0, block, audio.rate * block, 0, len(audio.samples), audio.rate * block, -1, block, 0, 0, 0, 0)
@@ -396,7 +433,19 @@ def avi_encode(frames: list[np.ndarray], rate: tuple[int, int] = (30, 1), keys:
     return first + b"".join(_riff(b"RIFF", b"AVIX" + b) for b in bodies[1:])
 
 
-def _avi_part(frames: list[np.ndarray], lo: int, hi: int, rate: tuple[int, int], keys: list[bool] | None, audio: Wave | None) -> tuple[bytes, list[tuple[bytes, int, int, bool]]]:
+def _frame_encoder(codec: bytes):
+    if codec == b"MJPG":
+        from framelake.sources import jpeg
+
+        return lambda f: jpeg.encode(f, 0)
+    if codec == b"YUY2":
+        from framelake.sources import yuv
+
+        return lambda f: yuv.pack(*yuv.from_rgb(f), "yuy2")
+    return dib_encode
+
+
+def _avi_part(frames: list[np.ndarray], lo: int, hi: int, rate: tuple[int, int], keys: list[bool] | None, audio: Wave | None, encode) -> tuple[bytes, list[tuple[bytes, int, int, bool]]]:
     """The chunks of frames [lo, hi) with their audio, and (kind, place, size, is_key) of each, counted from the list's kind."""
     movi, index = [], []
     at = 4
@@ -408,7 +457,7 @@ def _avi_part(frames: list[np.ndarray], lo: int, hi: int, rate: tuple[int, int],
         at += len(movi[-1])
 
     for i in range(lo, hi):
-        put(b"00db", dib_encode(frames[i]), keys[i] if keys else True)
+        put(b"00db", encode(frames[i]), keys[i] if keys else True)
         if audio is not None:
             upto = lambda k: min(len(audio.samples), -(-k * audio.rate * rate[1] // rate[0]))
             part = audio.samples[upto(i) : upto(i + 1) if i + 1 < len(frames) else len(audio.samples)]
@@ -455,7 +504,7 @@ def avi_parse(data: bytes, rebuild: bool = False) -> Avi:
     """Header and chunk index of all RIFF parts; where an index is missing or damaged, or rebuild is set, the chunks themselves are walked."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise FormatError("not an AVI")
-    rate, width, height, bits, audio = (30, 1), 0, 0, 24, None
+    rate, width, height, bits, audio, codec = (30, 1), 0, 0, 24, None, b"\0\0\0\0"
     chunks: list[Chunk] = []
     for start, end in _avi_riffs(data):
         movi, index = (0, 0), b""
@@ -470,6 +519,7 @@ def avi_parse(data: bytes, rebuild: bool = False) -> Avi:
                             scale, hz = struct.unpack_from("<II", data, head + 20)
                             rate = (hz, scale)
                             width, height, _, bits = struct.unpack_from("<iiHH", data, form + 4)
+                            codec = data[form + 16 : form + 20]
                         elif data[head : head + 4] == b"auds":
                             _, channels, hz, _, _, depth = struct.unpack_from("<HHIIHH", data, form)
                             audio = (hz, channels, depth)
@@ -479,8 +529,21 @@ def avi_parse(data: bytes, rebuild: bool = False) -> Avi:
                 index = data[at : at + size]
         if movi[1]:
             chunks += _part_chunks(data, movi, index, rebuild)
-    return Avi(rate, width, height, bits, audio, chunks)
+    return Avi(rate, width, height, bits, audio, chunks, codec)
 
 
 def avi_frame(data: bytes, avi: Avi, chunk: Chunk) -> np.ndarray:
-    return dib_decode(data[chunk.offset : chunk.offset + chunk.size], avi.width, avi.height, avi.bits)
+    """A frame: uncompressed, Motion JPEG or packed YCbCr; of other codecs none is read."""
+    raw = data[chunk.offset : chunk.offset + chunk.size]
+    name = avi.codec.lower()
+    if name in (b"mjpg", b"jpeg"):
+        from framelake.sources import jpeg
+
+        return jpeg.decode(raw)
+    if name in (b"yuy2", b"uyvy", b"yv12", b"i420"):
+        from framelake.sources import yuv
+
+        return yuv.to_rgb(*yuv.unpack(raw, name.decode(), avi.width, abs(avi.height)))
+    if name.strip(b"\0") not in (b"", b"dib ", b"rgb "):
+        raise FormatError(f"{avi.codec!r} is of no known codec")
+    return dib_decode(raw, avi.width, avi.height, avi.bits)

@@ -18,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.sources import codecs
+from framelake.sources import codecs, jpeg, yuv
 
 FRAMES = "name string, frame long, is_key boolean, w int, h int, r array<int>, g array<int>, b array<int>"
 
 
+DECODERS = {**codecs.DECODERS, "jpg": jpeg.decode, "jpeg": jpeg.decode}
+ENCODERS = {**codecs.ENCODERS, "jpg": lambda image: jpeg.encode(image, 0)}
+
+
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
@@ -57,24 +61,28 @@ def _nothing(name: str) -> tuple:
 
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*", mode: str = "fail") -> DataFrame:
-    """One frame per file (PNG, BMP or TGA, known by content, then by name); frames are numbered by the number in the name."""
+    """One frame per file (PNG, JPEG, BMP or TGA, known by content, then by name); frames are numbered by the number in the name."""
     def decode(name: str, data: bytes):
         kind = codecs.sniff(data)
-        kind = kind if kind in codecs.DECODERS else name.rsplit(".", 1)[-1].lower()
-        if kind not in codecs.DECODERS:
+        kind = kind if kind in DECODERS else name.rsplit(".", 1)[-1].lower()
+        if kind not in DECODERS:
             raise codecs.FormatError(f"{name} is of no known kind")
         digits = "".join(c if c.isdigit() else " " for c in name.rsplit(".", 1)[0]).split()
-        yield _row(name, int(digits[-1]) if digits else 0, True, codecs.DECODERS[kind](data))
+        yield _row(name, int(digits[-1]) if digits else 0, True, DECODERS[kind](data))
 
     return _decoded(_files(spark, path, pattern), decode, FRAMES, mode, _nothing)
 
 
-def read_raw_video(spark: SparkSession, path: str, width: int, height: int, pattern: str = "*.rgb") -> DataFrame:
-    """Frames of width x height r, g, b bytes one after another; a rest at the end is no frame."""
+def read_raw_video(spark: SparkSession, path: str, width: int, height: int, pattern: str = "*.rgb", layout: str = "rgb") -> DataFrame:
+    """Frames of width x height one after another, as r, g, b bytes or in a layout of `yuv.LAYOUTS`; a rest at the end is no frame."""
     def decode(name: str, data: bytes):
-        size = width * height * 3
+        size = width * height * 3 if layout == "rgb" else yuv.frame_bytes(layout, width, height)
         for i in range(len(data) // size):
-            yield _row(name, i, True, np.frombuffer(data, np.uint8, size, i * size).reshape(height, width, 3))
+            if layout == "rgb":
+                image = np.frombuffer(data, np.uint8, size, i * size).reshape(height, width, 3)
+            else:
+                image = yuv.to_rgb(*yuv.unpack(data[i * size : (i + 1) * size], layout, width, height))
+            yield _row(name, i, True, image)
 
     return _decoded(_files(spark, path, pattern), decode, FRAMES, "fail")
 
@@ -92,6 +100,33 @@ def read_avi(spark: SparkSession, path: str, pattern: str = "*.avi", mode: str =
     return _decoded(_files(spark, path, pattern), decode, FRAMES, mode, _nothing)
 
 
+def detect(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(name, kind, bytes): what each file is, by its content."""
+    def decode(name: str, data: bytes):
+        yield name, codecs.sniff(data), len(data)
+
+    return _decoded(_files(spark, path, pattern), decode, "name string, kind string, bytes long", "fail")
+
+
+#: Readers of video by what `codecs.sniff` finds; a reader gets the session, the path, a file-name pattern and a mode.
+READERS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def read_media(spark: SparkSession, path: str, mode: str = "fail") -> DataFrame:
+    """Frames of all files under path, each read by its kind's reader; kinds without one raise, or are left out by mode "skip"."""
+    found = detect(spark, path)
+    kinds = [r["kind"] for r in found.select("kind").distinct().collect()]  # at most as many as there are kinds
+    unknown = sorted(set(kinds) - set(READERS))
+    if unknown and mode == "fail":
+        raise codecs.FormatError(f"no reader for {', '.join(unknown)}")
+    out = None
+    for kind in sorted(set(kinds) & set(READERS)):
+        names = found.where(F.col("kind") == kind).select("name")
+        frames = READERS[kind](spark, path, "*", "skip").join(names, "name", "left_semi")
+        out = frames if out is None else out.unionByName(frames)
+    return spark.createDataFrame([], FRAMES) if out is None else out
+
+
 def read_avi_index(spark: SparkSession, path: str, pattern: str = "*.avi", rebuild: bool = False) -> DataFrame:
     """(name, stream, chunk, offset, size, is_key) of every chunk, without decoding."""
     def decode(name: str, data: bytes):
@@ -180,21 +215,23 @@ def write_images(frames: DataFrame, folder: str, kind: str = "png", prefix: str
         for row in rows:
             target = os.path.join(folder, f"{prefix}{row['frame']:08d}.{kind}")
             with open(target + ".part", "wb") as f:
-                f.write(codecs.ENCODERS[kind](_image(row, size)))
+                f.write(ENCODERS[kind](_image(row, size)))
             os.replace(target + ".part", target)
 
     frames.select("frame", *"rgb").foreachPartition(run)
 
 
-def write_video(frames: DataFrame, folder: str, kind: str = "avi", by: str = "name", size: tuple[int, int] = (8, 8), rate: tuple[int, int] = (30, 1), riff_frames: int | None = None) -> list[str]:
-    """A file per value of `by`: avi (in RIFF parts of riff_frames frames), flm, gif, apng or rgb (raw)."""
+def write_video(frames: DataFrame, folder: str, kind: str = "avi", by: str = "name", size: tuple[int, int] = (8, 8), rate: tuple[int, int] = (30, 1), riff_frames: int | None = None, codec: bytes = b"DIB ") -> list[str]:
+    """A file per value of `by`: avi (in RIFF parts of riff_frames frames, by a codec), flm, gif, apng, rgb (raw) or a layout of `yuv.LAYOUTS`."""
     encoders = {
-        "avi": lambda rows: codecs.avi_encode([_image(r, size) for r in rows], rate, [r["is_key"] for r in rows] if "is_key" in rows[0] else None, riff_frames=riff_frames),
+        "avi": lambda rows: codecs.avi_encode([_image(r, size) for r in rows], rate, [r["is_key"] for r in rows] if "is_key" in rows[0] else None, riff_frames=riff_frames, codec=codec),
         "flm": lambda rows: codecs.filmstrip_encode([_image(r, size) for r in rows], rate[0] // rate[1]),
         "gif": lambda rows: codecs.gif_encode([_image(r, size) for r in rows], 100 * rate[1] // rate[0]),
         "apng": lambda rows: codecs.apng_encode([_image(r, size) for r in rows], 100 * rate[1] // rate[0]),
         "rgb": lambda rows: b"".join(_image(r, size).tobytes() for r in rows),
     }
+    for layout in yuv.LAYOUTS:
+        encoders[layout] = lambda rows, k=layout: b"".join(yuv.pack(*yuv.from_rgb(_image(r, size)), k) for r in rows)
     return _write_groups(frames, [by], folder, lambda key: f"{key[0]}.{kind}", encoders[kind])
 
 
@@ -265,10 +302,19 @@ def read_raw_audio(spark: SparkSession, path: str, pattern: str = "*.pcm") -> Da
     return _decoded(_files(spark, path, pattern), decode, SAMPLES, "fail")
 
 
-def write_wav(samples: DataFrame, folder: str, rate: int = 44_100, by: str = "name") -> list[str]:
-    return _write_groups(samples, [by], folder, lambda key: f"{key[0]}.wav", lambda rows: codecs.wav_encode(np.array([[r["l"], r["r"]] for r in rows]), rate))
+def write_wav(samples: DataFrame, folder: str, rate: int = 44_100, by: str = "name", kind: str = "wav") -> list[str]:
+    """16-bit stereo, a file per value of `by`: wav, or w64 for sounds of more than 4 GB."""
+    encode = codecs.w64_encode if kind == "w64" else codecs.wav_encode
+    return _write_groups(samples, [by], folder, lambda key: f"{key[0]}.{kind}", lambda rows: encode(np.array([[r["l"], r["r"]] for r in rows]), rate))
 
 
 def run_null(df: DataFrame) -> None:
     """Computes everything and keeps nothing."""
     df.write.format("noop").mode("overwrite").save()
+
+
+READERS |= {
+    "avi": lambda spark, path, pattern, mode: read_avi(spark, path, pattern, mode),
+    "filmstrip": lambda spark, path, pattern, mode: read_filmstrip(spark, path, pattern, mode),
+    **{kind: lambda spark, path, pattern, mode: read_images(spark, path, pattern, mode) for kind in ("png", "jpg", "bmp")},
+}

@@ -116,6 +116,85 @@ walk(stream, k, frame, size, segment, held, n) AS (
 SELECT stream, frame, size, CAST(segment AS INT) AS segment FROM walk""",
 )
 register("io_stripes", lambda s, d: files.stripes(frames(s, d).select("frame"), 3), "SELECT vec_id AS frame, vec_id % 3 AS stripe FROM embeddings")
+
+
+def _close(back: DataFrame, s: SparkSession, d: str) -> DataFrame:
+    """How many pixels there are, and how many came back within what quantisation by 1 can do."""
+    px = pixels(frames(s, d)).select("frame", "x", "y", *(F.col(c).alias(f"{c}0") for c in "rgb"))
+    near = F.greatest(*(F.abs(F.col(c) - F.col(f"{c}0")) for c in "rgb")) <= 4
+    return px.join(back, ["frame", "x", "y"], "left").agg(F.count(F.lit(1)).alias("n"), F.sum(near.cast("long")).alias("near"))
+
+
+def _jpegs(s: SparkSession, d: str) -> DataFrame:
+    folder = _folder(s)
+    files.write_images(frames(s, d), folder, "jpg")
+    return _close(pixels(files.read_images(s, folder)), s, d)
+
+
+def _motion_jpeg(s: SparkSession, d: str) -> DataFrame:
+    folder = _folder(s)
+    files.write_video(_clips(s, d), folder, codec=b"MJPG")
+    return _close(_numbered(files.read_avi(s, folder)), s, d)
+
+
+_COUNT = f"WITH {SQL_PIXELS} SELECT count(*) AS n, count(*) AS near FROM px"
+register("io_images_jpg", _jpegs, _COUNT)
+register("io_avi_motion_jpeg", _motion_jpeg, _COUNT)
+
+
+def _raw(layout: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        folder = _folder(s)
+        files.write_video(_clips(s, d), folder, layout)
+        return _numbered(files.read_raw_video(s, folder, 8, 8, "*", layout))
+
+    return run
+
+
+def _layout_sql(across: int, down: int) -> str:
+    """To limited-range YCbCr, chroma averaged over so many pixels, and back."""
+    fit = lambda v: f"greatest(0, least(255, ({v}) >> 16))"
+    forward = ((16829, 33039, 6416, 0x108000), (-9714, -19071, 28784, 0x808000), (28784, -24103, -4681, 0x808000))
+    ycc = ", ".join(f"{fit(f'({r}) * r + ({g}) * g + ({b}) * b + {o}')}::BIGINT AS {n}" for (r, g, b, o), n in zip(forward, ("yy", "uu", "vv"), strict=True))
+    area = across * down
+    mean = ", ".join(f"((sum({c}) + {area // 2}) // {area})::BIGINT AS {c}" for c in ("uu", "vv"))
+    base = "76309 * (f.yy - 16) + 32768"
+    back = (f"{base} + 104597 * (m.vv - 128)", f"{base} - 53279 * (m.vv - 128) - 25674 * (m.uu - 128)", f"{base} + 132201 * (m.uu - 128)")
+    return f"""WITH {SQL_PIXELS}, f AS (SELECT frame, x, y, {ycc} FROM px), m AS (SELECT frame, x // {across} AS hx, y // {down} AS hy, {mean} FROM f GROUP BY 1, 2, 3)
+SELECT f.frame, f.x, f.y, {', '.join(f'CAST({fit(v)} AS INT) AS {c}' for v, c in zip(back, 'rgb', strict=True))} FROM f JOIN m ON m.frame = f.frame AND m.hx = f.x // {across} AND m.hy = f.y // {down}"""
+
+
+for _layout, _shared in (("yuy2", (2, 1)), ("uyvy", (2, 1)), ("yv12", (2, 2)), ("nv12", (2, 2)), ("yvu9", (4, 4)), ("yv24", (1, 1))):
+    register(f"io_raw_{_layout}", _raw(_layout), _layout_sql(*_shared))
+
+
+def _yuy2_avi(s: SparkSession, d: str) -> DataFrame:
+    folder = _folder(s)
+    files.write_video(_clips(s, d), folder, codec=b"YUY2")
+    return _numbered(files.read_avi(s, folder))
+
+
+register("io_avi_yuy2", _yuy2_avi, _layout_sql(2, 1))
+
+
+def _w64(s: SparkSession, d: str) -> DataFrame:
+    folder = _folder(s)
+    files.write_wav(samples(s, d).withColumn("name", F.lit("all")), folder, kind="w64")
+    return files.read_wav(s, folder, "*.w64").select("pos", "l", "r")
+
+
+register("io_wave64", _w64, f"WITH {SQL_SAMPLES} SELECT pos, l, r FROM smp")
+
+
+def _kinds(s: SparkSession, d: str) -> DataFrame:
+    """Files of several kinds in one folder, known by content and each read by its reader."""
+    folder = _folder(s)
+    files.write_images(frames(s, d).where("frame % 2 = 0"), folder, "png")
+    files.write_images(frames(s, d).where("frame % 2 = 1"), folder, "bmp")
+    return pixels(files.read_media(s, folder))
+
+
+register("io_read_by_content", _kinds, _ALL)
 register("io_append_one_frame", lambda s, d: files.append(frames(s, d).where("frame = 0").select("frame"), frames(s, d).select("frame")), "SELECT vec_id + 1 AS frame FROM embeddings UNION ALL SELECT 0")
 register("io_append", lambda s, d: files.append(frames(s, d).select("frame"), frames(s, d).select("frame")), "SELECT vec_id AS frame FROM embeddings UNION ALL SELECT vec_id + (SELECT max(vec_id) + 1 FROM embeddings) FROM embeddings")
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from framelake.operators import audio
-from framelake.sources import codecs, files
+from framelake.sources import codecs, files, jpeg, yuv
 from framelake.streaming import capture
 
 RNG = np.random.default_rng(3)
@@ -233,3 +233,86 @@ def test_raw_audio_round_trip(spark, tmp_path):
     samples = spark.createDataFrame([("x", i, i - 5, 100 * i) for i in range(10)], "name string, pos long, l int, r int")
     files.write_raw_audio(samples, str(tmp_path))
     assert sorted(tuple(r)[1:] for r in files.read_raw_audio(spark, str(tmp_path)).collect()) == [(i, i - 5, 100 * i) for i in range(10)]
+
+
+@given(st.integers(1, 30), st.integers(1, 30), st.integers(0, 10), st.sampled_from([0, 6]))
+@settings(max_examples=25, deadline=None)
+def test_jpeg_round_trips(w, h, seed, step):
+    rng = np.random.default_rng(seed)
+    noise = rng.integers(0, 256, (h, w, 3))
+    y, x = np.mgrid[:h, :w]
+    smooth = np.stack((y * 3, x * 4, x + y), axis=2)
+    image = (noise if not step else smooth).astype(np.uint8)
+    apart = np.abs(jpeg.decode(jpeg.encode(image, step)).astype(int) - image)
+    assert apart.max() <= 4 and apart.mean() < 1 if not step else apart.mean() < 3
+    assert codecs.sniff(jpeg.encode(image, step)) == "jpg"
+
+
+def test_jpeg_parts():
+    """Restarts, a single component and subsampled chroma, in streams put together by hand: every block is one flat value."""
+    head = b"\xff\xd8" + b"\xff\xdb\x00\x43\x00" + b"\x08" * 64
+    tables = b"\xff\xc4\x00\x1f\x00" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12)) + b"\xff\xc4\x00\x15\x10" + bytes([0, 2] + [0] * 14) + b"\x00\xf0"
+    tables = tables.replace(b"\x00\x15\x10", b"\x00\x15\x10")
+    bits = lambda text: int(text + "1" * (-len(text) % 8), 2).to_bytes((len(text) + 7) // 8, "big")
+    dc = lambda v: format(abs(v).bit_length(), "04b") + (format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b") if v else "")
+    gray = head + b"\xff\xc0\x00\x0b\x08\x00\x08\x00\x10\x01\x01\x11\x00" + tables + b"\xff\xdd\x00\x04\x00\x01" + b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00"
+    gray += bits(dc(20) + "00") + b"\xff\xd0" + bits(dc(-30) + "00") + b"\xff\xd9"
+    image = jpeg.decode(gray)
+    assert image.shape == (8, 16, 3) and (image[:, :8] == 148).all() and (image[:, 8:] == 98).all()
+    half = head + b"\xff\xc0\x00\x11\x08\x00\x08\x00\x10\x03\x01\x21\x00\x02\x11\x00\x03\x11\x00" + tables + b"\xff\xda\x00\x0c\x03\x01\x00\x02\x00\x03\x00\x00\x3f\x00"
+    half += bits(dc(10) + "00" + dc(10) + "00" + dc(0) + "00" + dc(50) + "00") + b"\xff\xd9"
+    image = jpeg.decode(half).astype(int)
+    red = lambda y: int(np.floor(y + 1.402 * 50 + 0.5))
+    assert image.shape == (8, 16, 3) and (image[:, :8, 0] == red(138)).all() and (image[:, 8:, 0] == red(148)).all()
+    for broken in (b"", gray[:40], b"\xff\xd8\xff\xc2\x00\x0b" + gray[40:], gray.replace(b"\xff\xc4\x00\x15", b"\xff\xe0\x00\x15")):
+        with pytest.raises((codecs.FormatError, codecs.struct.error, IndexError, ValueError)):
+            jpeg.decode(broken)
+
+
+@pytest.mark.parametrize("layout", list(yuv.LAYOUTS))
+def test_layouts(spark, tmp_path, layout):
+    rng = np.random.default_rng(1)
+    planes = rng.integers(0, 256, (3, 8, 8))
+    raw = yuv.pack(*planes, layout)
+    back = yuv.unpack(raw, layout, 8, 8)
+    assert len(raw) == yuv.frame_bytes(layout, 8, 8) and (back[0] == planes[0]).all() and yuv.pack(*back, layout) == raw
+    flat = spark.createDataFrame([("a", i, [40 * i] * 64, [200] * 64, [90] * 64) for i in range(3)], "name string, frame long, r array<int>, g array<int>, b array<int>")
+    files.write_video(flat, str(tmp_path), layout)
+    found = sorted((r["frame"], r["r"][0], r["g"][63], r["b"][7]) for r in files.read_raw_video(spark, str(tmp_path), 8, 8, "*", layout).collect())
+    assert len(found) == 3
+    for i, r, g, b in found:
+        assert (abs(r - 40 * i) <= 3 and abs(g - 200) <= 3 and abs(b - 90) <= 3) or layout == "y8"
+    with pytest.raises(codecs.FormatError):
+        yuv.frame_bytes("yv12", 7, 8)
+
+
+@pytest.mark.parametrize("codec", [b"MJPG", b"YUY2"])
+def test_avi_codecs(spark, tmp_path, codec):
+    rows = [("a", i, [10 * i + x % 8 for x in range(64)], [120] * 64, [x for x in range(64)]) for i in range(5)]
+    frames = spark.createDataFrame(rows, "name string, frame long, r array<int>, g array<int>, b array<int>")
+    files.write_video(frames, str(tmp_path), codec=codec)
+    assert codecs.avi_parse((tmp_path / "a.avi").read_bytes()).codec == codec
+    for r in files.read_avi(spark, str(tmp_path)).collect():
+        for c, want in zip("rgb", rows[r["frame"]][2:], strict=True):
+            assert np.abs(np.array(r[c]) - want).max() <= (4 if codec == b"MJPG" else 8)
+
+
+def test_wave64(spark, tmp_path):
+    samples = spark.createDataFrame([("x", i, i - 5, 100 * i) for i in range(11)], "name string, pos long, l int, r int")
+    files.write_wav(samples, str(tmp_path), kind="w64")
+    assert codecs.sniff((tmp_path / "x.w64").read_bytes()) == "w64"
+    assert sorted(tuple(r)[1:] for r in files.read_wav(spark, str(tmp_path), "*.w64").collect()) == [(i, i - 5, 100 * i) for i in range(11)]
+
+
+def test_files_are_known_by_their_content(spark, tmp_path):
+    image = np.arange(192, dtype=np.uint8).reshape(8, 8, 3)
+    made = {"a1.x": codecs.png_encode(image), "b2.png": jpeg.encode(image, 0), "c3": codecs.bmp_encode(image), "d.jpg": codecs.avi_encode([image, image]), "e.avi": codecs.filmstrip_encode([image])}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    assert {r["name"]: r["kind"] for r in files.detect(spark, str(tmp_path)).collect()} == {"a1.x": "png", "b2.png": "jpg", "c3": "bmp", "d.jpg": "avi", "e.avi": "filmstrip"}
+    frames = files.read_media(spark, str(tmp_path)).collect()
+    assert len(frames) == 6 and all(np.abs(np.array(r["g"]) - image[:, :, 1].reshape(-1)).max() <= 4 for r in frames)
+    (tmp_path / "f.txt").write_bytes(b"hello")
+    with pytest.raises(codecs.FormatError):
+        files.read_media(spark, str(tmp_path))
+    assert files.read_media(spark, str(tmp_path), "skip").count() == 6
