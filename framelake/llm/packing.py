@@ -79,12 +79,21 @@ def _best_configuration(lengths: np.ndarray, values: np.ndarray, capacity: int)
     best = np.full(capacity + 1, -np.inf)  # of multisets that sum to exactly c
     best[0] = 0
     choice = np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(int(lengths[0]), capacity + 1):
-        k = fits[c]
-        gains = best[c - lengths[:k]] + values[:k]
-        i = int(gains.argmax())
-        best[c], choice[c] = gains[i], i
+    if 4 * len(lengths) > capacity:  # so many that whole slices are quicker than picking them
+        worth, index = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -1)
+        worth[lengths], index[lengths] = values, np.arange(len(lengths))
+        gains, backwards = np.empty(capacity), best[::-1]
+        for c in range(int(lengths[0]), capacity + 1):
+            part = np.add(backwards[capacity - c + 1 :], worth[1 : c + 1], out=gains[:c])
+            i = part.argmax()
+            best[c], choice[c] = part[i], index[i + 1]
+    else:
+        fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+        for c in range(int(lengths[0]), capacity + 1):
+            k = fits[c]
+            gains = best[c - lengths[:k]] + values[:k]
+            i = int(gains.argmax())
+            best[c], choice[c] = gains[i], i
     c = int(best.argmax())
     if best[capacity] >= NEARLY * best[c]:
         c = capacity
