@@ -34,6 +34,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", values: DataFrame |
         near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
         hooked = labels.join(near, F.col("node") == F.col("x")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         hooked = settle(hooked, "hooked")
+        if not hooked.where("old.node <> label.node").limit(1).count():  # then no label has one to follow
+            return hooked.select("node", F.col("label.node").alias("label"), F.col("label.value").alias("value"))
         used = hooked.select(F.col("label.node").alias("p")).distinct()
         moved = settle(used.join(hooked.select(F.col("node").alias("p"), F.col("label").alias("far")), "p").where("far.node <> p"), "moved")
         n = moved.count()
@@ -41,5 +43,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", values: DataFrame |
             jump = F.broadcast(moved) if n <= BROADCAST_ROWS else moved
             hooked = settle(hooked.join(jump, F.col("label.node") == F.col("p"), "left").select("node", "old", F.coalesce("far", "label").alias("label")), "labels")
         labels = hooked.select("node", "label")
-        if not hooked.where("old.node <> label.node").limit(1).count():
-            return labels.select("node", F.col("label.node").alias("label"), F.col("label.value").alias("value"))
