@@ -146,11 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, wanted: Column, label: str = "qual
     pos, neg = table.column("pos").to_numpy(), table.column("neg").to_numpy()
     far = np.abs(pos / max(n_pos, 1) - neg / max(n_neg, 1)) / np.sqrt(np.maximum(pos + neg, 1))
     order = np.argsort(-far, kind="stable")
-    buckets = np.sort(table.column("bucket").to_numpy()[order[np.cumsum((pos + neg)[order]) <= entries]])
+    chosen = np.zeros(1 << BITS, bool)
+    chosen[table.column("bucket").to_numpy()[order[np.cumsum((pos + neg)[order]) <= entries]]] = True
 
     def indicate(batches):
         for rows, y in rows_of(batches):
-            kept = np.isin(rows.buckets, buckets)
+            kept = chosen[rows.buckets]
             offs = np.concatenate(([0], np.cumsum(kept)))[rows.offs]
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(rows.buckets[kept].astype(np.int32))), y], names=["buckets", "y"])
 
