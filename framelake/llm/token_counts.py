@@ -28,6 +28,8 @@ BLOCK = 64
 #: How far past a match's end the pattern may look.
 LOOKAHEAD = 2
 CACHE_PRETOKENS = 400_000
+#: What would let a pattern look farther: other look-arounds, and repetitions that may give back what they took.
+FARTHER = regex.compile(r"\(\?[=!<]|[*{]|\+\?|\?\?")
 
 
 class Edit(NamedTuple):
@@ -47,6 +49,8 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        if FARTHER.search(pattern.replace(r"\s+(?!\S)", "")):
+            raise ValueError(f"a pre-token's end must depend on at most {LOOKAHEAD} characters after it: {pattern}")
         self.pattern = regex.compile(pattern)
         self.known: dict[str, int] = {}
 
@@ -268,7 +272,8 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, edits: Cal
     `edits` names for it, applied in order; n_reencoded is how many pre-tokens
     these made the tree encode anew. Null and empty texts have no tokens (edits
     are asked for an empty text in their place). Columns of those names get a _
-    before. An empty table gives an empty result.
+    before. An empty table gives an empty result. Patterns whose matches depend on
+    characters far behind them are refused: they raise ValueError.
     """
     names = [fresh(docs, c) for c in ("n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")]
 

@@ -60,3 +60,9 @@ def test_table(spark):
         assert r["n_tokens_edited"] == n_tokens(text)
         assert r["n_edits"] == len(edits_of(r["text"] or "", REDACTIONS))
     assert count_tokens(spark.createDataFrame([], "text string"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("pattern", [r"\s*[\r\n]+|\s+", r"\w+(?=x)|.", r"(?<=a)b|.", r"\p{N}{1,3}|.", r"a+?b|."])
+def test_patterns_that_look_far_are_refused(pattern):
+    with pytest.raises(ValueError):
+        Encoder(PATH, pattern)
