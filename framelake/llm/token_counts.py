@@ -29,7 +29,7 @@ BLOCK = 64
 LOOKAHEAD = 2
 CACHE_PRETOKENS = 400_000
 #: What would let a pattern look farther: other look-arounds, and repetitions that may give back what they took.
-FARTHER = regex.compile(r"\(\?[=!<]|[*{]|\+\?|\?\?")
+FARTHER = regex.compile(r"\(\?[=!<]|\*|\{\d|\+\?|\?\?")
 
 
 class Edit(NamedTuple):
